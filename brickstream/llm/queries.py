@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brickstream.llm import addresses, mapping, packing, pii, quantiles, survivors, tokenize
+from brickstream.llm import addresses, mapping, packing, pii, quantiles, subjects, survivors, tokenize
 from brickstream.session import table, written
 
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -109,11 +109,23 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "subjects"))
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and share of the corpus of each subject; ``none`` are the documents without any."""
+    documents = table(spark, d, "documents").select("doc_id")
+    rows = documents.join(p10_found(spark, d), "doc_id", "left").withColumn("subject", F.coalesce("subject", F.lit("none")))
+    total = documents.count()
+    return rows.groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / max(total, 1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p5_found, p5_mapping,
-        p8_ids, p8_decoded, p9_packing,
+        p8_ids, p8_decoded, p9_packing, p10_found, p10_composition,
     )
 }
 
