@@ -37,7 +37,7 @@ COMPLEXES = ("ж.к.", "ж.к", "ж. к.", "жк.", "жк ", "комплекс "
 # Words before numbers that are no phone numbers.
 NOT_PHONES = ("кадастрален номер", "разрешение", "оферта №", "offer", "reference", "ref", "реф.", "реф", "код", "еик", "company no.", "парцел", "дело", "sheet", "архив", "№ на обява", "булстат", "ид.", "iban", "фактура №")
 
-_DIGIT = "[0-9OОoо]"
+_DIGIT = "(?:[0-9]|[OОoо](?![A-NP-Za-np-zА-НП-Яа-нп-я]))"  # a letter o counts where no other letter follows
 _LOCAL = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9._+-]{0,62}[A-Za-z0-9_+-])?$|[A-Za-z0-9]$")
 _TIGHT = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*\.[A-Za-z]{2,24}(?![A-Za-z0-9])")
 _DOT = r"(?:\s+\.\s+|\.|\s*\[dot\]\s*|\s*\(dot\)\s*|\s*\{dot\}\s*|\s+dot\s+|\s+точка\s+|\s*\[точка\]\s*|\s*\(точка\)\s*)"
@@ -110,7 +110,7 @@ def phone_digits(raw: str) -> str | None:
         code = rest[:2]
         if "(0)" in raw.replace(" ", ""):
             rest = re.sub(rf"^({code})0", r"\1", rest)
-        if 10 <= len(rest) <= 13 and rest[2:3] != "0":
+        if 10 <= len(rest) <= (12 if code == "44" else 13) and rest[2:3] != "0":
             return rest
     return None
 

@@ -90,6 +90,7 @@ def merged(rows: DataFrame, trust: DataFrame, fields: Sequence[str] = FIELDS, ro
     """
     kinds = dict(rows.dtypes)
     order = F.struct((-F.col("_trust")).alias("t"), F.col("_filled").alias("f"), F.coalesce(F.col("last_seen").cast("string"), F.lit("")).alias("s"), (-F.col(row_id)).alias("i"))
-    full = ranked(rows, trust, fields).join(property_groups(rows, row_id).drop("canonical_id"), row_id)
+    lean = ranked(rows, trust, fields).select(row_id, *fields, "_trust", "_filled", "last_seen")
+    full = lean.join(property_groups(rows, row_id).select(row_id, "group"), row_id)
     best = [F.max_by(F.col(f), F.when(filled(f, kinds[f]), order)).alias(f) for f in fields]
     return full.groupBy("group").agg(F.count("*").alias("n_members"), *best)
