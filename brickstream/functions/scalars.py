@@ -205,3 +205,50 @@ def clip_list(values: Column, allowed: tuple[str, ...], limit: int = 12) -> Colu
     """Array without values that aren't allowed, at most ``limit`` of them; null is empty."""
     kept = F.filter(F.coalesce(values, F.array().cast("array<string>")), lambda x: x.isin(*allowed))
     return F.slice(kept, 1, limit)
+
+
+def case_number(text: Column) -> Column:
+    """Number after the words for an execution case, without blanks; null if none."""
+    return F.nullif(F.regexp_replace(F.regexp_extract(text, "(?iU)изп\\.?\\s*дело\\s*№?\\s*([0-9][0-9 /-]*[0-9])", 1), " ", ""), F.lit(""))
+
+
+def decision_number(text: Column) -> Column:
+    """Number after the words for a decision or an auction; null if none."""
+    return F.nullif(F.regexp_extract(text, "(?iU)(?:решение|търг)\\s*№\\s*([0-9А-Яа-я/-]+)", 1), F.lit(""))
+
+
+def date_window(text: Column) -> Column:
+    """Struct of ``start`` and ``end`` (the end of its day) of a span written "от d.m.y до d.m.y"."""
+    part = lambda k: F.try_to_date(F.nullif(F.regexp_extract(text, "(?iU)от\\s+([0-9.]+)\\D*?\\s+до\\s+([0-9.]+[0-9])", k), F.lit("")), "d.M.yyyy").cast("timestamp_ntz")
+    return F.struct(part(1).alias("start"), (part(2) + F.expr("INTERVAL 86399 SECONDS")).alias("end"))
+
+
+def place_in_text(text: Column, names: list[str]) -> Column:
+    """The longest of the ``names`` that stands in a text as a word; ``Unknown`` if none does."""
+    import re
+
+    ordered = sorted((n for n in names if n), key=lambda n: (-len(n), n))
+    found = F.lit("Unknown")
+    for n in reversed(ordered):
+        found = F.when(text.rlike(f"(?iU)(?<![\\p{{L}}\\p{{N}}]){re.escape(n)}(?![\\p{{L}}\\p{{N}}])"), n).otherwise(found)
+    return found
+
+
+def image_link(path: Column, name: Column, prefix: str, suffix: str = ".jpg") -> Column:
+    """Absolute link from the parts of a path; null without a name."""
+    return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(prefix.rstrip("/") + "/"), F.regexp_replace(F.coalesce(path, F.lit("")), "^/+|/+$", ""), F.lit("/"), name, F.lit(suffix)))
+
+
+def token_cost(fresh: Column, written: Column, cached: Column, out: Column, price_in: float, price_out: float) -> Column:
+    """Price of one call in millionths of tokens: writing to a cache costs 1.25, reading from it 0.1."""
+    return (fresh * price_in + written * price_in * 1.25 + cached * price_in * 0.1 + out * price_out) / 1e6
+
+
+def numbers_only(text: Column) -> Column:
+    """Number of a text with separators and signs around it; range signs make it null."""
+    return F.when(~text.rlike("[<>≤≥]"), localized_number(text))
+
+
+def backfilled_first_price(first: Column, price: Column) -> Column:
+    """First price, or the current one where a table older than the column has none."""
+    return F.coalesce(number(first), number(price))
