@@ -31,9 +31,9 @@ class Fitted:
 
 def smoothed_target(rows: DataFrame, key: str, target: str, smoothing: float) -> DataFrame:
     """``key, encoded_place``: the key's mean target drawn to the global median by ``smoothing`` rows."""
-    centre = rows.agg(F.median(target).alias("_m"))
+    centre = rows.agg(F.median(target)).scalar()
     groups = rows.groupBy(key).agg(F.avg(target).alias("_avg"), F.count(target).alias("_n"))
-    return groups.join(F.broadcast(centre)).select(key, ((F.col("_avg") * F.col("_n") + F.col("_m") * smoothing) / (F.col("_n") + smoothing)).alias("encoded_place"))
+    return groups.select(key, ((F.col("_avg") * F.col("_n") + centre * smoothing) / (F.col("_n") + smoothing)).alias("encoded_place"))
 
 
 def features(rows: DataFrame, encoded: DataFrame, place: str, year: int) -> DataFrame:
@@ -105,8 +105,7 @@ def contributions(scored: DataFrame, model: Fitted, top: int = 5) -> Column:
 def quality(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
     """One row: count, mean absolute error in percent, R squared."""
     a, p = F.col(actual), F.col(predicted)
-    mean = rows.agg(F.avg(a).alias("_mean"))
-    return rows.join(F.broadcast(mean)).agg(
+    return rows.withColumn("_mean", rows.agg(F.avg(a)).scalar()).agg(
         F.count("*").alias("n"), F.round(F.avg(F.abs(a - p) / a) * 100, 2).alias("mae_pct"), F.round(1 - F.sum((a - p) ** 2) / F.nullif(F.sum((a - F.col("_mean")) ** 2), F.lit(0.0)), 4).alias("r2")
     )
 
@@ -128,5 +127,5 @@ def baseline(rows: DataFrame, train: DataFrame, tiers: Sequence[str], value: str
     for k in range(len(tiers), 0, -1):
         part = train.groupBy(*tiers[:k]).agg(F.median(value).alias(f"_b{k}")).select(*[F.col(t).alias(f"_{k}{t}") for t in tiers[:k]], f"_b{k}")
         out = out.join(part, [F.col(t).eqNullSafe(F.col(f"_{k}{t}")) for t in tiers[:k]], "left").drop(*[f"_{k}{t}" for t in tiers[:k]])
-    out = out.join(F.broadcast(train.agg(F.median(value).alias("_b0"))))
+    out = out.withColumn("_b0", train.agg(F.median(value)).scalar())
     return out.withColumn("baseline", F.coalesce(*[F.col(f"_b{k}") for k in range(len(tiers), -1, -1)])).drop(*[f"_b{k}" for k in range(len(tiers) + 1)])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,28 +16,47 @@ def valid_hash(h: Column) -> Column:
     return h.rlike("^[0-9a-fA-F]{16}$")
 
 
-def near_pairs(rows: DataFrame, row_id: str, hash_column: str, bits: int, cap: int | None = None) -> DataFrame:
+def _spans(parts: int) -> list[tuple[int, int]]:
+    """The 16 digits of a hash as ``parts`` runs of nearly equal length: (start from 1, length)."""
+    out, at = [], 1
+    for k in range(parts):
+        length = 16 // parts + (k < 16 % parts)
+        out.append((at, length))
+        at += length
+    return out
+
+
+def near_pairs(rows: DataFrame, row_id: str, hash_column: str, bits: int, equal: int = 3) -> DataFrame:
     """``hash_a, hash_b, distance`` of different hashes (``hash_a < hash_b``) at most ``bits`` apart.
 
-    With fewer than 8 differing bits at least one of 8 bands is equal, so no pair is lost.
-    Runs over distinct hashes: rows that share one are found by membership, not as pairs.
-    ``cap`` skips, as a probe, a hash that has more rows than that in its buckets; a pair
-    is kept if either side isn't skipped.
+    A hash is cut into ``bits + equal`` bands.  Two hashes within ``bits`` agree in at least
+    ``equal`` of them, so every choice of that many bands is a join key: no pair is lost,
+    and keys are long enough (21 bits for 6, 32 for 3) that a bucket holds few hashes.
+    Runs over distinct hashes: rows that share one are found by :func:`hash_classes`.
+    """
+    spans = _spans(bits + equal)
+    keys = [F.concat(F.lit(f"{i}:"), *[F.substring("h", *spans[k]) for k in choice]) for i, choice in enumerate(combinations(range(len(spans)), equal))]
+    hashes = rows.filter(valid_hash(F.col(hash_column))).select(F.lower(F.col(hash_column)).alias("h")).distinct()
+    keyed = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
+    pairs = keyed.withColumnRenamed("h", "hash_a").join(keyed.withColumnRenamed("h", "hash_b"), "key").filter("hash_a < hash_b")
+    return pairs.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= bits).select("hash_a", "hash_b", "distance").distinct()
+
+
+def capped_pairs(rows: DataFrame, row_id: str, hash_column: str, bits: int, cap: int) -> DataFrame:
+    """As :func:`near_pairs`, but without the pairs of which both hashes are crowded.
+
+    A hash is crowded if more than ``cap`` rows (its own included) share one of its 8 bands
+    of 8 bits.  Rows per band are counted from the 8 x 256 band values; which rows several
+    bands share is found by the pairs that are near anyway, so no bucket is joined with itself.
     """
-    if bits >= BANDS:
-        raise ValueError("bands cover fewer than 8 differing bits")
-    hashes = rows.filter(valid_hash(F.col(hash_column))).groupBy(F.lower(F.col(hash_column)).alias("h")).agg(F.count("*").alias("n"))
-    bands = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("h", i * 2 + 1, F.lit(2)).alias("key"))))
-    banded = hashes.select("h", "n", bands.alias("_b")).select("h", "n", "_b.band", "_b.key")
-    a, b = banded.select(F.col("h").alias("hash_a"), "band", "key"), banded.select(F.col("h").alias("hash_b"), F.col("n").alias("n_b"), "band", "key")
-    pairs = a.join(b, ["band", "key"]).filter("hash_a < hash_b")
-    close = pairs.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= bits).select("hash_a", "hash_b", "distance").distinct()
-    if cap is None:
-        return close
-    reach = a.join(b, ["band", "key"]).select("hash_a", "hash_b", "n_b").distinct().groupBy("hash_a").agg(F.sum("n_b").alias("_reach"))
-    probes = reach.filter(F.col("_reach") <= cap).select(F.col("hash_a").alias("_probe"))
-    left = close.join(probes, close["hash_a"] == probes["_probe"], "left_semi")
-    right = close.join(probes, close["hash_b"] == probes["_probe"], "left_semi")
+    valid = rows.filter(valid_hash(F.col(hash_column))).groupBy(F.lower(F.col(hash_column)).alias("h")).agg(F.count("*").alias("n"))
+    band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("band"), F.substring("h", i * 2 + 1, F.lit(2)).alias("key"))))
+    banded = valid.select("h", "n", band.alias("_b")).select("h", "n", "_b.band", "_b.key")
+    sizes = banded.groupBy("band", "key").agg(F.sum("n").alias("_rows"))
+    crowded = banded.join(sizes, ["band", "key"]).groupBy("h").agg(F.max("_rows").alias("_rows")).filter(F.col("_rows") > cap).select("h")
+    close = near_pairs(rows, row_id, hash_column, bits)
+    left = close.join(crowded, close["hash_a"] == crowded["h"], "left_anti")
+    right = close.join(crowded, close["hash_b"] == crowded["h"], "left_anti")
     return left.union(right).distinct()
 
 

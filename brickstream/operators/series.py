@@ -18,11 +18,23 @@ def latest_values(rows: DataFrame, key: str, order: str, fields: Sequence[str])
     return rows.groupBy(key).agg(*[F.max_by(F.col(f), F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 
-def collapse_runs(rows: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
-    """Of consecutive rows with equal values of a key only the last one."""
-    following = F.lead(value).over(Window.partitionBy(key).orderBy(*order))
-    last = F.lead(F.lit(1)).over(Window.partitionBy(key).orderBy(*order)).isNull()
-    return rows.withColumn("_next", following).withColumn("_last", last).filter(F.col("_last") | ~F.col("_next").eqNullSafe(F.col(value))).drop("_next", "_last")
+def collapse_runs(rows: DataFrame, key: str, order: Sequence[str], value: str, period: str | None = None) -> DataFrame:
+    """Of consecutive rows with equal values of a key only the last one.
+
+    With ``period`` (``month``, ``day``; the first of ``order`` is then a time) windows run
+    within one key and period, and what follows a period comes from a summary of one row
+    per key and period, so a key that holds very many rows is spread.
+    """
+    split = [] if period is None else ["_period"]
+    if split:
+        rows = rows.withColumn("_period", F.date_trunc(period, F.col(order[0])))
+    w = Window.partitionBy(key, *split).orderBy(*order)
+    out = rows.withColumn("_next", F.lead(F.struct(F.col(value).alias("v"))).over(w))
+    if split:
+        firsts = rows.groupBy(key, "_period").agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("_first"))
+        after = firsts.withColumn("_after", F.lead("_first").over(Window.partitionBy(key).orderBy("_period"))).drop("_first")
+        out = out.join(after, [key, "_period"], "left").withColumn("_next", F.coalesce("_next", "_after")).drop("_after")
+    return out.filter(F.col("_next").isNull() | ~F.col("_next.v").eqNullSafe(F.col(value))).drop("_next", *split)
 
 
 def rank_pct(rows: DataFrame, key: str, value: str, out: str, digits: int = 1) -> DataFrame:
@@ -52,17 +64,24 @@ def trend(series: DataFrame, key: str, at: str, value: str, days: int) -> DataFr
     return out.withColumn("trend_pct", F.round((F.col("latest") - F.col("earlier")) / F.nullif(F.col("earlier"), F.lit(0.0)) * 100, 2))
 
 
-def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, fields: Sequence[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: str, fields: Sequence[str], period: str = "month") -> DataFrame:
     """``left`` with the fields of the last row of ``right`` at or before each row's time.
 
-    Both sides are merged into one ordered stream per key and the last value is carried
-    forward: one shuffle, no range join.
+    Both sides are merged into one ordered stream per key and period, in which the last
+    value is carried forward; what holds at a period's start comes from a summary of one
+    row per key and period.  No range join, and a hot key is spread over its periods.
     """
-    l = left.select("*", F.col(left_at).alias("_at"), F.lit(1).alias("_side"))
-    r = right.select(F.col(key), F.col(right_at).alias("_at"), F.lit(0).alias("_side"), F.struct(*fields).alias("_carry"))
+    marked = lambda at: {"_at": F.col(at), "_period": F.date_trunc(period, F.col(at))}
+    l = left.withColumns(marked(left_at)).withColumn("_side", F.lit(1))
+    r = right.withColumns(marked(right_at)).select(key, "_at", "_period", F.lit(0).alias("_side"), F.struct(*fields).alias("_carry"))
     both = l.unionByName(r, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("_carry", F.last("_carry", ignorenulls=True).over(w)).filter("_side = 1").select(*left.columns, *[F.col(f"_carry.{f}").alias(f"{f}_asof") for f in fields])
+    inside = Window.partitionBy(key, "_period").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(key).orderBy("_period").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(key, "_period").agg(F.max_by("_carry", F.when(F.col("_carry").isNotNull(), F.col("_at"))).alias("_end"))
+    opening = ends.withColumn("_open", F.last("_end", ignorenulls=True).over(before)).drop("_end")
+    carried = both.withColumn("_carry", F.last("_carry", ignorenulls=True).over(inside)).filter("_side = 1").join(opening, [key, "_period"], "left")
+    held = F.coalesce("_carry", "_open")
+    return carried.withColumn("_held", held).select(*left.columns, *[F.col(f"_held.{f}").alias(f"{f}_asof") for f in fields])
 
 
 def interleave(rows: DataFrame, lane: str, order: Sequence[Column], limit: int) -> DataFrame:

@@ -28,9 +28,11 @@ def reposts(rows: DataFrame, row_id: str, keys: Sequence[str], active: Column, f
     keyed = rows.withColumn("_k", null_safe).withColumn("_a", active)
     old = keyed.filter(~F.coalesce("_a", F.lit(False))).groupBy("_k", source_id).agg(F.min(F.coalesce(F.col(first_seen), F.lit("1900-01-01").cast("timestamp_ntz"))).alias("_t"))
     # the two earliest source ids of a key decide for every row, whichever its own id is
-    two = old.groupBy("_k").agg(F.slice(F.array_sort(F.collect_list(F.struct("_t", source_id))), 1, 2).alias("_old"))
-    hit = F.exists("_old", lambda o: (o[source_id] != F.col(source_id)) & (o["_t"] < F.col(first_seen)))
-    return keyed.filter("_a").join(two, "_k").filter(hit).select(row_id)
+    one = old.groupBy("_k").agg(F.min(F.struct("_t", source_id)).alias("_o"))
+    first = one.select("_k", F.col("_o._t").alias("_t1"), F.col(f"_o.{source_id}").alias("_s1"))
+    second = old.join(first, "_k").filter(F.col(source_id) != F.col("_s1")).groupBy("_k").agg(F.min("_t").alias("_t2"))
+    earliest = F.when(F.col(source_id) == F.col("_s1"), F.col("_t2")).otherwise(F.col("_t1"))
+    return keyed.filter("_a").join(first, "_k").join(second, "_k", "left").filter(earliest < F.col(first_seen)).select(row_id)
 
 
 def counters(rows: DataFrame, key: str, counts: Mapping[str, Column]) -> DataFrame:

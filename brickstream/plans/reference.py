@@ -303,7 +303,7 @@ def first_price_drops(spark, d):
 def price_runs(spark, d):
     """Price history without repetitions, each run at its last date."""
     rows = prices(spark, d).filter("recorded_at is not null").select("listing_id", "id", "recorded_at", F.round("price_eur", 2).alias("price"))
-    return series.collapse_runs(rows, "listing_id", ["recorded_at", "id"], "price").select("listing_id", "recorded_at", "price")
+    return series.collapse_runs(rows, "listing_id", ["recorded_at", "id"], "price", period="month").select("listing_id", "recorded_at", "price")
 
 
 @query("SELECT id, round(100 * cume_dist() OVER (PARTITION BY neighborhood ORDER BY price_per_sqm_eur), 1) AS percentile FROM sane")
@@ -611,9 +611,16 @@ def photo_classes(spark, d):
 
 @query()
 def text_near_pairs(spark, d):
-    """Different texts whose SimHash differs in at most three bits, between classes of equal hashes."""
-    rows = neardup.simhash(sale(spark, d), "id", series.shingles(F.col("description_full"), 4))
-    return neardup.near_pairs(rows, "id", "simhash", R.text_bits)
+    """Different texts whose SimHash of five-word shingles differs in at most three bits, between classes of equal hashes."""
+    rows = neardup.simhash(table(spark, d, "documents"), "doc_id", series.shingles(F.col("text"), 5))
+    return neardup.near_pairs(rows, "doc_id", "simhash", R.text_bits)
+
+
+@query()
+def text_classes(spark, d):
+    """Each document's class of equal SimHashes and the class's size."""
+    rows = neardup.simhash(table(spark, d, "documents"), "doc_id", series.shingles(F.col("text"), 5))
+    return neardup.hash_classes(rows, "doc_id", "simhash")
 
 
 @query("SELECT canonical_id, source, min_by(url, id) AS url FROM base WHERE canonical_id IS NOT NULL AND url IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY canonical_id) > 1")

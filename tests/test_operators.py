@@ -69,6 +69,23 @@ def test_runs_keep_the_last_of_equal_values_and_nulls(spark):
     assert got == [("a", 2), ("a", 4), ("a", 5), ("b", 1)]
 
 
+def test_runs_and_asof_over_periods_equal_those_without(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), T(2026, 1, 1) + dt.timedelta(days=rng.randint(0, 150)), i, float(rng.randint(1, 2))) for i in range(300)]
+    df = frame(spark, rows, "k string, t timestamp_ntz, id long, v double")
+    plain = sorted(map(tuple, series.collapse_runs(df, "k", ["t", "id"], "v").select("k", "t", "id").collect()))
+    split = sorted(map(tuple, series.collapse_runs(df, "k", ["t", "id"], "v", period="month").select("k", "t", "id").collect()))
+    assert plain == split
+    left = frame(spark, [(i, rng.choice("abz"), T(2025, 12, 1) + dt.timedelta(days=rng.randint(0, 250))) for i in range(200)], "i long, k string, at timestamp_ntz")
+    right = df.groupBy("k", "t").agg(F.max("id").alias("x"))
+    want = {}
+    facts = [tuple(r) for r in right.collect()]
+    for r in left.collect():
+        before = [(t, x) for k, t, x in facts if k == r["k"] and t <= r["at"]]
+        want[r["i"]] = max(before)[1] if before else None
+    assert {r["i"]: r["x_asof"] for r in series.asof_join(left, right, "k", "at", "t", ["x"]).collect()} == want
+
+
 def test_percentile_counts_equals_and_keeps_repeated_rows(spark):
     rows = [("a", 1800.0), ("a", 2000.0), ("a", 2200.0), ("b", 1.0), ("b", 1.0), (None, 3.0), ("a", None)]
     got = sorted(((r["k"] or "", r["v"] or 0, r["p"]) for r in series.rank_pct(frame(spark, rows, "k string, v double"), "k", "v", "p").collect()), key=str)
@@ -100,8 +117,9 @@ def test_near_pairs_against_brute_force_and_with_a_hot_hash(spark):
         hs += [f"{x:016x}"] + [f"{x ^ sum(1 << b for b in rng.sample(range(64), rng.randint(1, 8))):016x}" for _ in range(2)]
     rows = [(i, h) for i, h in enumerate(hs + [hs[0]] * 200)] + [(9999, None), (9998, "xyz")]
     df = frame(spark, rows, "id long, h string")
-    got = {(r[0], r[1]) for r in neardup.near_pairs(df, "id", "h", 6).select("hash_a", "hash_b").collect()}
-    assert got == brute_pairs(hs, 6)
+    for bits in (3, 6):
+        got = {(r[0], r[1]) for r in neardup.near_pairs(df, "id", "h", bits).select("hash_a", "hash_b").collect()}
+        assert got == brute_pairs(hs, bits)
     members = {r["id"]: r["members"] for r in neardup.hash_classes(df, "id", "h").collect()}
     assert members[0] == 201 and 9998 not in members
 
@@ -109,7 +127,8 @@ def test_near_pairs_against_brute_force_and_with_a_hot_hash(spark):
 def test_cap_skips_crowded_hashes(spark):
     df = frame(spark, [(i, f"{1 << i:016x}") for i in range(5)], "id long, h string")
     assert neardup.near_pairs(df, "id", "h", 2).count() == 10
-    assert neardup.near_pairs(df, "id", "h", 2, cap=2).count() == 0
+    assert neardup.capped_pairs(df, "id", "h", 2, 9).count() == 10
+    assert neardup.capped_pairs(df, "id", "h", 2, 2).count() == 0
 
 
 def test_simhash_is_near_for_near_texts(spark):
