@@ -94,6 +94,10 @@ def interleave(rows: DataFrame, lane: str, order: Sequence[Column], limit: int)
 def shingles(text: Column, size: int) -> Column:
     """Distinct runs of ``size`` words of a lower-case text."""
     words = F.regexp_extract_all(F.lower(text), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
-    return F.when(
-        F.size(words) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.array_join(F.slice(words, i, size), " ")))
-    ).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.array_join(F.slice(w, i, size), " "))
+        return F.when(F.size(w) >= size, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    # bound once: written out, the words would be found again for every run
+    return F.transform(F.array(words), runs)[0]
