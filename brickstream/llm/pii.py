@@ -242,6 +242,13 @@ def found(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     return hits.select(row_id, "_i.pii_type", "_i.pii_value").distinct()
 
 
-def redacted(rows: DataFrame, *texts: str) -> DataFrame:
-    """``rows`` with placeholders for the personal items in the columns ``texts``; other columns untouched."""
-    return rows.withColumns({t: scanned(F.col(t))["clean"] for t in texts})
+def redacted(rows: DataFrame, *texts: str, contacts: tuple[str, ...] = ()) -> DataFrame:
+    """``rows`` with placeholders for the personal items in the columns ``texts`` and ``contacts``.
+
+    Columns named in ``contacts`` hold nothing but contacts, so what still looks like the
+    beginning of a number there, e.g. where a long entry was cut off, is covered, too.
+    Other columns stay untouched.
+    """
+    rest = "[+(]*[0-9][0-9OОoо ()./-]{3,}"
+    covered = {t: scanned(F.col(t))["clean"] for t in texts}
+    return rows.withColumns(covered | {c: F.regexp_replace(scanned(F.col(c))["clean"], rest, PLACEHOLDERS["phone"]) for c in contacts})

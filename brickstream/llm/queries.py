@@ -59,7 +59,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
     """Descriptions and contact columns with typed placeholders."""
     rows = table(spark, d, "listings").select("id", "description_full", "contact_phone", "contact_email")
-    return pii.redacted(rows, "description_full", "contact_phone", "contact_email")
+    return pii.redacted(rows, "description_full", contacts=("contact_phone", "contact_email"))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

@@ -90,6 +90,9 @@ def test_found_and_redacted_on_dirty_rows(spark):
     got = [(r["id"], r["t"]) for r in pii.redacted(df, "t").collect()]
     assert len(got) == 6 and got[0] == (1, None) and got[1] == (2, "") and got[5] == (5, "😀İ [EMAIL]")
     assert pii.found(df.limit(0), "id", "t").count() == 0
+    cut = spark.createDataFrame([("+359 (0)895000335, (+359) 878 00", "a@b.example"), ("скрит", "няма"), (None, "")], "contact_phone string, contact_email string")
+    got = [tuple(r) for r in pii.redacted(cut, contacts=("contact_phone", "contact_email")).collect()]
+    assert got == [("[PHONE], [PHONE]", "[EMAIL]"), ("скрит", "няма"), (None, "")]
 
 
 # --- survivors -------------------------------------------------------------------------------
