@@ -750,3 +750,99 @@ def retained_dates(spark, d):
     rows = table(spark, d, "listing_snapshots")
     newest = rows.select("snapshot_date").distinct().orderBy(F.desc("snapshot_date")).limit(3)
     return rows.join(F.broadcast(newest), "snapshot_date", "left_semi").select("source", "source_id", "snapshot_date")
+
+
+@query(
+    ORACLES["source_drift"].replace("SELECT source, field, round(value, 4)", ", d AS (SELECT source, field, round(value, 4)")
+    + """), i AS (SELECT source, 100.0 * count(image_url) / count(*) AS pct FROM listings WHERE is_active AND NOT coalesce(is_duplicate, false) GROUP BY 1),
+    s AS (SELECT status FROM d UNION ALL SELECT CASE WHEN pct < 30 THEN 'red' WHEN pct < 60 THEN 'amber' ELSE 'green' END FROM i)
+    SELECT CASE WHEN bool_or(status = 'red') THEN 'red' WHEN bool_or(status = 'amber') THEN 'amber' ELSE 'green' END AS status, count(*) AS checks FROM s""",
+    base=False,
+)
+def health_status(spark, d):
+    """The worst colour of all drift and coverage checks."""
+    return signals.worst(source_drift(spark, d).select("status").unionByName(image_coverage(spark, d).select("status")))
+
+
+@query("SELECT id, authenticity_score FROM active WHERE authenticity_score IS NOT NULL ORDER BY authenticity_score, id LIMIT 20")
+def lowest_scores(spark, d):
+    return active(spark, d).filter("authenticity_score is not null").orderBy("authenticity_score", "id").limit(20).select("id", "authenticity_score")
+
+
+@query("SELECT id, source, price_eur FROM active WHERE listing_kind = 'auction' AND first_seen >= TIMESTAMP '2026-03-26' - INTERVAL 30 DAY ORDER BY first_seen DESC, id LIMIT 8")
+def auction_watch(spark, d):
+    rows = active(spark, d).filter((F.col("listing_kind") == "auction") & (F.col("first_seen") >= now() - F.expr("INTERVAL 30 DAYS")))
+    return rows.orderBy(F.desc("first_seen"), "id").limit(8).select("id", "source", "price_eur")
+
+
+@query("SELECT id FROM active WHERE image_url IS NOT NULL AND image_phash IS NULL ORDER BY first_seen DESC NULLS LAST, id LIMIT 100")
+def hash_queue(spark, d):
+    return active(spark, d).filter("image_url is not null and image_phash is null").orderBy(F.desc("first_seen"), "id").limit(100).select("id")
+
+
+@query(
+    """, t AS (SELECT s.id, s.image_url, s.llm_extract, a.id AS aid, a.savings_pct FROM sale s JOIN al a ON a.listing_id = s.id WHERE a.savings_pct > 0 ORDER BY a.savings_pct DESC, a.id LIMIT 25)
+    SELECT id, savings_pct FROM t WHERE image_url IS NOT NULL ORDER BY savings_pct DESC, aid LIMIT 1"""
+)
+def top_pick(spark, d):
+    """The best of the 25 largest savings that has a photo: the gate comes after the cut."""
+    a = alerts(spark, d).filter("savings_pct > 0").select(F.col("id").alias("aid"), "listing_id", "savings_pct")
+    cut = sale(spark, d).select("id", "image_url").join(a, F.col("id") == F.col("listing_id")).orderBy(F.desc("savings_pct"), "aid").limit(25)
+    return cut.filter("image_url is not null").orderBy(F.desc("savings_pct"), "aid").limit(1).select("id", "savings_pct")
+
+
+@query("SELECT neighborhood, count(DISTINCT s.id) AS deals FROM sale s JOIN al a ON a.listing_id = s.id WHERE a.alert_type = 'underpriced' AND a.zscore <= -1.5 GROUP BY 1")
+def deals_per_place(spark, d):
+    """Deals per place: a listing with several alerts counts once (semi-join)."""
+    deals = alerts(spark, d).filter((F.col("alert_type") == "underpriced") & (F.col("zscore") <= R.z_limit)).select(F.col("listing_id").alias("id"))
+    return sale(spark, d).select("id", "neighborhood").join(deals, "id", "left_semi").groupBy("neighborhood").agg(F.count("*").alias("deals"))
+
+
+@query("SELECT count(*) AS listings, round(avg(round(price_per_sqm_eur)), 4) AS mean, median(round(price_per_sqm_eur)) AS median, count(*) FILTER (WHERE first_seen >= TIMESTAMP '2026-03-19') AS new_week, count(*) FILTER (WHERE authenticity_score < 50) AS red, count(*) FILTER (WHERE authenticity_score BETWEEN 50 AND 79) AS amber FROM sane")
+def city_totals(spark, d):
+    """Totals of the city, from rounded prices as they are shown."""
+    p, s = F.round("price_per_sqm_eur"), F.col("authenticity_score")
+    return sane(spark, d).agg(
+        F.count("*").alias("listings"), F.round(F.avg(p), 4).alias("mean"), F.median(p).alias("median"), F.count_if(F.col("first_seen") >= now() - F.expr("INTERVAL 7 DAYS")).alias("new_week"),
+        F.count_if(s < 50).alias("red"), F.count_if(s.between(50, 79)).alias("amber"),
+    )
+
+
+@query(
+    """, tr AS (SELECT *, nullif(rooms, 0) AS rm, nullif(total_floors, 0) AS tf, 2026 - nullif(year_built, 0) AS age FROM uniq WHERE listing_kind = 'sale' AND property_type IN ('apartment', 'studio', 'maisonette') AND area_sqm BETWEEN 20 AND 500 AND price_per_sqm_eur BETWEEN 700 AND 15000 AND first_seen IS NOT NULL)
+    SELECT * FROM (SELECT 'log_area' AS feature, round(avg(ln(area_sqm)), 6) AS mean, round(stddev_pop(ln(area_sqm)), 6) AS std FROM tr UNION ALL SELECT 'rooms', round(avg(rm), 6), round(stddev_pop(rm), 6) FROM tr
+    UNION ALL SELECT 'floor_share', round(avg(floor / CAST(tf AS DOUBLE)), 6), round(stddev_pop(floor / CAST(tf AS DOUBLE)), 6) FROM tr UNION ALL SELECT 'age', round(avg(age), 6), round(stddev_pop(age), 6) FROM tr UNION ALL SELECT 'area_rooms', round(avg(area_sqm * rm), 6), round(stddev_pop(area_sqm * rm), 6) FROM tr)"""
+)
+def feature_moments(spark, d):
+    """Means and population deviations of model features, in one pass."""
+    train = training(spark, d)
+    rows = hedonic.features(train, hedonic.smoothed_target(train, "neighborhood", "price_per_sqm_eur", R.smoothing), "neighborhood", 2026)
+    names = ["log_area", "rooms", "floor_share", "age", "area_rooms"]
+    one = rows.agg(*[F.struct(F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_pop(c), 6).alias("std")).alias(c) for c in names])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}.mean").alias("mean"), F.col(f"{c}.std").alias("std")) for c in names])).alias("x")).select("x.*")
+
+
+@query(_STATS + "SELECT n.name FROM neighborhoods n WHERE NOT EXISTS (SELECT 1 FROM stats s WHERE s.neighborhood = n.name)")
+def unpublished_places(spark, d):
+    """Reference places without published statistics (set difference)."""
+    return table(spark, d, "neighborhoods").select("name").join(stats(spark, d).select(F.col("neighborhood").alias("name")), "name", "left_anti")
+
+
+@query(
+    """WITH k AS (SELECT DISTINCT source, lower(trim(source_id)) AS sid, snapshot_date AS t FROM listing_snapshots WHERE source_id IS NOT NULL),
+    g AS (SELECT *, CASE WHEN lag(t) OVER w IS NULL OR t > lag(t) OVER w + INTERVAL 14 DAY THEN 1 ELSE 0 END AS s FROM k WINDOW w AS (PARTITION BY source, sid ORDER BY t)), n AS (SELECT *, sum(s) OVER (PARTITION BY source, sid ORDER BY t) AS i FROM g)
+    SELECT source, sid AS source_id, min(t) AS first_seen, max(t) AS last_seen, count(*) AS dates FROM n GROUP BY source, sid, i""",
+    base=False,
+)
+def presence_spans(spark, d):
+    """Spans in which an ad was there without a gap of 14 days (session windows)."""
+    rows = table(spark, d, "listing_snapshots").select("source", F.lower(F.trim("source_id")).alias("source_id"), F.col("snapshot_date").cast("timestamp").alias("t")).filter("source_id is not null").distinct()
+    spans = rows.groupBy("source", "source_id", F.session_window("t", "14 days")).agg(F.min("t").alias("a"), F.max("t").alias("b"), F.count("*").alias("dates"))
+    return spans.select("source", "source_id", F.col("a").cast("timestamp_ntz").alias("first_seen"), F.col("b").cast("timestamp_ntz").alias("last_seen"), "dates")
+
+
+@query("SELECT user_id, min(ts) AS first_ts, count(*) AS events, count(DISTINCT event_type) AS kinds, max(value) AS best FROM events WHERE try_cast(json_extract_string(props, '$.k') AS INT) >= 50 GROUP BY 1", base=False)
+def event_users(spark, d):
+    """Events filtered by a JSON number, per user."""
+    rows = table(spark, d, "events").filter(F.get_json_object("props", "$.k").try_cast("int") >= 50)
+    return rows.groupBy("user_id").agg(F.min("ts").alias("first_ts"), F.count("*").alias("events"), F.count_distinct("event_type").alias("kinds"), F.max("value").alias("best"))
