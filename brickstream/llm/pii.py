@@ -9,7 +9,6 @@ go through in Arrow batches, whole, in one pass without a shuffle.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,8 +63,12 @@ def _lower(text: str) -> str:
     return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-@lru_cache(maxsize=1)
+_MACHINES: dict[str, object] = {}  # one automaton for each process
+
+
 def _automaton():
+    if "all" in _MACHINES:
+        return _MACHINES["all"]
     import ahocorasick
 
     machine = ahocorasick.Automaton()
@@ -76,6 +79,7 @@ def _automaton():
     for word, of in kinds.items():
         machine.add_word(word, (len(word), tuple(of)))
     machine.make_automaton()
+    _MACHINES["all"] = machine
     return machine
 
 
