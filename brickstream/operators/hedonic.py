@@ -66,8 +66,8 @@ def fit(rows: DataFrame, target: str, alpha: float) -> Fitted:
     stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMERIC], *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC], F.stddev_pop(target).alias("spread"), F.count("*").alias("n")).first()
     means = {c: stats[f"m_{c}"] or 0.0 for c in NUMERIC}
     stds = {c: s if (s := stats[f"s_{c}"] or 0.0) > 1e-8 else 1.0 for c in NUMERIC}
-    # the first category in order is left out; an unseen one has all zeros
-    categories = {c: sorted(r[0] for r in rows.select(c).distinct().limit(1000).collect())[1:] for c in CATEGORICAL}
+    # the first category in order is left out; an unseen one has all zeros; these columns have a handful of values
+    categories = {c: sorted(r[0] for r in rows.select(c).distinct().collect())[1:] for c in CATEGORICAL}
     ready, columns = design(rows, means, stds, categories)
     vectors = VectorAssembler(inputCols=columns, outputCol="_f").transform(ready)
     # the solver scales its penalty by the target's deviation and the number of rows
@@ -77,6 +77,7 @@ def fit(rows: DataFrame, target: str, alpha: float) -> Fitted:
 
 
 def design(rows: DataFrame, means: dict[str, float], stds: dict[str, float], categories: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """``rows`` with the standardised and dummy columns of the model, and their names; missing numbers count as the mean."""
     numeric = {f"x_{c}": F.coalesce((F.col(c) - means[c]) / stds[c], F.lit(0.0)) for c in NUMERIC}
     dummies = {f"d_{c}_{i}": (F.col(c) == v).cast("double") for c, values in categories.items() for i, v in enumerate(values)}
     return rows.withColumns(numeric | dummies), [*numeric, *dummies]
@@ -118,6 +119,7 @@ def time_split(rows: DataFrame, at: str, days: int) -> tuple[DataFrame, DataFram
 
 
 def passes_gate(model_mae: float, baseline_mae: float) -> bool:
+    """Whether a model is better than the baseline; an undefined error never is."""
     return math.isfinite(model_mae) and model_mae < baseline_mae
 
 

@@ -41,7 +41,9 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, label: str = "step") -> DataFrame:
     """``df`` written once as a parquet table in the shared folder and read back.
 
-    Cheaper than a checkpoint for wide rows: columnar, prunable and with statistics.
+    Cheaper than a checkpoint for wide rows: columnar, prunable and with statistics.  The
+    tables are small beside the input and stay until the folder is cleaned, so a later
+    action on the same plan, also after the loss of an executor, finds them.
     """
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")

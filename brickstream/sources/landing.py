@@ -232,7 +232,3 @@ def to_listings(bronze: DataFrame, rate: float) -> DataFrame:
     price = S.to_eur(F.col("price"), F.col("currency"), rate)
     rows = bronze.filter("reject is null").withColumn("price_eur", F.round(price, 2))
     return rows.withColumn("price_per_sqm_eur", S.per_sqm(F.col("price_eur"), F.col("area_sqm"))).drop("price", "currency", "reject")
-
-
-def first_number_after(text: Column, word: str) -> Column:
-    return F.nullif(F.regexp_extract(text, f"(?iU){word}\\D*([0-9][0-9 .,]*)", 1), F.lit(""))
