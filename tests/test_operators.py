@@ -197,8 +197,8 @@ def test_scalars(spark):
     assert value(S.materially_different(F.lit("a"), F.lit("a"), F.lit(100.0), F.lit(75.0), 0.25)) is True
     assert value(S.json_list(F.lit("{bad"))) == [] and value(S.json_text(F.lit("{bad"), "$.view")) == "unknown"
     assert [value(S.response_state(F.lit(s).cast("int"), F.lit("обявата е изтрита"), "изтрита")) for s in (404, 500, None, 200)] == ["gone", "unknown", "unknown", "gone"]
-    assert value(S.url_key(F.lit("https://a.bg/x/sofia-1?q=1"))) == "sofia-1"
-    assert value(S.normalize_place(F.lit("  кв. Люлин "))) == "люлин" and value(S.normalize_place(F.lit(None).cast("string"))) == "unknown"
+    assert value(S.url_key(F.lit("https://a.bg/x/flat-1?q=1"))) == "flat-1"
+    assert value(S.normalize_place(F.lit("  кв. Орешак "))) == "орешак" and value(S.normalize_place(F.lit(None).cast("string"))) == "unknown"
     assert value(S.whole_days(F.lit("2026-01-03 00:00:00").cast("timestamp_ntz"), F.lit("2026-01-01 12:00:00").cast("timestamp_ntz"))) == 1
 
 

@@ -10,12 +10,12 @@ from brickstream.functions import scalars as S
 def test_more_scalars(spark):
     value = lambda c: spark.range(1).select(c.alias("v")).first()[0]
     lit = F.lit
-    assert value(S.case_number(lit("по изп. дело № 2024 123-4, София"))) == "2024123-4" and value(S.case_number(lit("нищо"))) is None
+    assert value(S.case_number(lit("по изп. дело № 2024 123-4, Дъбринград"))) == "2024123-4" and value(S.case_number(lit("нищо"))) is None
     assert value(S.decision_number(lit("Решение № 17-А от днес"))) == "17-А"
     assert tuple(value(S.date_window(lit("от 5.3.2026 до 06.04.2026 г.")))) == (dt.datetime(2026, 3, 5), dt.datetime(2026, 4, 6, 23, 59, 59))
     assert tuple(value(S.date_window(lit("-")))) == (None, None)
-    names = ["Люлин", "Люлин 5", "Банишора"]
-    assert [value(S.place_in_text(lit(t), names)) for t in ("жк люлин 5, бл. 2", "Люлинска ул.", "в Люлин!", "")] == ["Люлин 5", "Unknown", "Люлин", "Unknown"]
+    names = ["Орешак", "Орешак 5", "Върбица"]
+    assert [value(S.place_in_text(lit(t), names)) for t in ("жк орешак 5, бл. 2", "Орешакска ул.", "в Орешак!", "")] == ["Орешак 5", "Unknown", "Орешак", "Unknown"]
     assert value(S.image_link(lit("/a/b/"), lit("x"), "https://i.example/")) == "https://i.example/a/b/x.jpg" and value(S.image_link(lit("a"), lit(""), "h")) is None
     assert abs(value(S.token_cost(lit(1e6), lit(1e6), lit(1e6), lit(1e6), 1.0, 5.0)) - 7.35) < 1e-9
     assert [value(S.numbers_only(lit(x))) for x in ("1 234,5 €", "<500", None)] == [1234.5, None, None]
