@@ -1,4 +1,4 @@
-"""Near-duplicates of 64-bit hashes: bands as join keys, Hamming distance as the test."""
+"""Near-duplicates: 64-bit hashes by bands and Hamming distance, texts by Jaccard similarity of their shingles."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickstream.functions.scalars import hamming
+from brickstream.operators.series import shingles
+from brickstream.session import written
 
 BANDS = 8
 
@@ -84,3 +86,54 @@ def hash_classes(rows: DataFrame, row_id: str, hash_column: str) -> DataFrame:
     """``row_id, hash_class, members``: one row per row, its class of equal hashes and the class's size."""
     valid = rows.filter(valid_hash(F.col(hash_column))).select(F.col(row_id), F.lower(F.col(hash_column)).alias("hash_class"))
     return valid.join(valid.groupBy("hash_class").agg(F.count("*").alias("members")), "hash_class").select(row_id, "hash_class", "members")
+
+
+def text_sets(rows: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
+    """``row_id, hash_class, tokens``: one row per row, its class of equal texts and its shingles' 64-bit hashes.
+
+    Texts of ``size`` words or more are equal if their sets of shingles are, shorter ones if
+    their words are, wordless ones if they are the same but for outer blanks.  Blank texts
+    are the class ``blank``, nulls the class ``null``.  Only the first kind has tokens.
+    """
+    c = F.col(text)
+    words = F.array_join(F.regexp_extract_all(F.lower(c), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1)), " ")
+    made = rows.select(F.col(row_id), c.alias("_text"), words.alias("_words"), shingles(c, size).alias("_s"))
+    digest = (
+        F.when(F.col("_text").isNull(), "null")
+        .when(F.size("_s") > 0, F.md5(F.array_join(F.array_sort("_s"), "\n")))
+        .when(F.col("_words") != "", F.md5("_words"))
+        .when(F.col("_text").rlike("(?U)^\\s*$"), "blank")
+        .otherwise(F.md5(F.regexp_replace("_text", "(?U)^\\s+|\\s+$", "")))
+    )
+    tokens = F.when(F.size("_s") > 0, F.array_distinct(F.transform("_s", lambda s: F.xxhash64(s)))).otherwise(F.array().cast("array<bigint>"))
+    return made.select(row_id, digest.alias("hash_class"), tokens.alias("tokens"))
+
+
+def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """``hash_a, hash_b, similarity`` of different classes (``hash_a < hash_b``) whose tokens reach ``threshold``.
+
+    ``sets`` has ``hash_class, tokens``.  Prefix-filter join over distinct classes: tokens are
+    ordered by rarity, and two sets that reach the threshold share one of their rarest
+    ``n - ceil(threshold * n) + 1``; the similarity of all candidates is computed exactly, so
+    every pair comes out.  Prefixes carry no sets, so a very long text costs its length.
+    """
+    filled = sets.filter(F.size("tokens") > 0).select(F.col("hash_class").alias("k"), "tokens").dropDuplicates(["k"])
+    # written once: rarity, prefixes and the test read it
+    distinct = written(filled, "shingles")
+    exploded = distinct.select("k", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
+    shared = exploded.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
+    ordered = exploded.join(shared, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    # tokens of one set only come first in the order; they fill the prefix but can't match
+    alone = F.col("n") - F.size("o")
+    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone
+    prefixes = ordered.filter(keep > 0).select("k", "n", alone.alias("_alone"), F.posexplode(F.slice("o", 1, keep)).alias("_i", "_o"))
+    prefixes = prefixes.select("k", "n", (F.col("_alone") + F.col("_i")).alias("p"), F.col("_o.t").alias("t"))
+    a, b = (prefixes.select(F.col("k").alias(f"hash_{x}"), F.col("n").alias(f"n_{x}"), F.col("p").alias(f"p_{x}"), "t") for x in "ab")
+    na, nb = F.col("n_a"), F.col("n_b")
+    need = F.ceil((na + nb) * (threshold / (1 + threshold)) - 1e-9)
+    near = (na >= nb * threshold - 1e-9) & (nb >= na * threshold - 1e-9) & (F.least(na - F.col("p_a"), nb - F.col("p_b")) >= need)
+    candidates = a.join(b, "t").filter("hash_a < hash_b").filter(near).select("hash_a", "hash_b").distinct()
+    tested = candidates.join(distinct.select(F.col("k").alias("hash_a"), F.col("tokens").alias("t_a")), "hash_a").join(distinct.select(F.col("k").alias("hash_b"), F.col("tokens").alias("t_b")), "hash_b")
+    both = F.size(F.array_intersect("t_a", "t_b"))
+    scored = tested.select("hash_a", "hash_b", both.alias("_both"), (F.size("t_a") + F.size("t_b")).alias("_sum"))
+    return scored.select("hash_a", "hash_b", (F.col("_both") / (F.col("_sum") - F.col("_both"))).alias("similarity")).filter(F.col("similarity") >= threshold - 1e-12)

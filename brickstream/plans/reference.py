@@ -611,9 +611,8 @@ def photo_classes(spark, d):
 
 @query()
 def text_near_pairs(spark, d):
-    """Different texts whose SimHash of five-word shingles differs in at most three bits, between classes of equal hashes."""
-    rows = neardup.simhash(table(spark, d, "documents"), "doc_id", series.shingles(F.col("text"), 5))
-    return neardup.near_pairs(rows, "doc_id", "simhash", R.text_bits)
+    """Different texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, between classes of equal texts."""
+    return neardup.jaccard_pairs(neardup.text_sets(table(spark, d, "documents"), "doc_id", "text", R.text_shingle), R.text_similarity)
 
 
 @query()

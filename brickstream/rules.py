@@ -26,6 +26,8 @@ class Rules:
     trap_free_score: int = 50
     photo_bits: int = 6
     text_bits: int = 3
+    text_shingle: int = 5
+    text_similarity: float = 0.8
     candidate_cap: int = 400
     material_delta: float = 0.25
     drift_pct: float = 30.0

@@ -138,6 +138,32 @@ def test_simhash_is_near_for_near_texts(spark):
     assert set(h) == {1, 2, 3} and (h[1] ^ h[2]).bit_count() < 8 < (h[1] ^ h[3]).bit_count()
 
 
+def test_text_pairs_against_brute_force_and_beyond_three_bits(spark):
+    rng, texts = random.Random(5), []
+    for _ in range(12):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(5, 90))]
+        texts.append(" ".join(words))
+        for _ in range(4):
+            at = rng.randrange(len(words))
+            texts.append(" ".join([*words[:at], *[f"x{rng.randint(0, 9)}"] * rng.randint(0, 2), *words[at + rng.randint(0, 1) :]]))
+    texts += [texts[0].upper()] * 50 + ["one two three", "", None]
+    df = frame(spark, list(enumerate(texts)), "id long, t string")
+    sets = neardup.text_sets(df, "id", "t", 5)
+    classes = {r["id"]: r["hash_class"] for r in sets.collect()}
+    grams = {}
+    for i, t in enumerate(texts):
+        w = (t or "").lower().split()
+        if len(w) >= 5:
+            grams[classes[i]] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {(a, b): len(grams[a] & grams[b]) / len(grams[a] | grams[b]) for a in grams for b in grams if a < b}
+    want = {k: v for k, v in want.items() if v >= 0.8}
+    got = {(r[0], r[1]): r[2] for r in neardup.jaccard_pairs(sets, 0.8).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    bits = {r["id"]: int(r["simhash"], 16) for r in neardup.simhash(df, "id", series.shingles(F.col("t"), 5)).collect()}
+    one = {c: bits[i] for i, c in classes.items() if i in bits}
+    assert len(want) > 20 and any((one[a] ^ one[b]).bit_count() > 3 for a, b in got)
+
+
 def test_components_chain_star_and_repeats(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 8), (5, 5), (None, 1)]
     got = {r["node"]: r["component"] for r in components.connected_components(frame(spark, edges, "a long, b long"), "a", "b").collect()}
