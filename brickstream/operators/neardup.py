@@ -109,6 +109,12 @@ def text_sets(rows: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
     return made.select(row_id, digest.alias("hash_class"), tokens.alias("tokens"))
 
 
+def text_classes(rows: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
+    """``row_id, hash_class, members``: one row per row, whatever its text, its class (:func:`text_sets`) and the class's size."""
+    classes = text_sets(rows, row_id, text, size).select(row_id, "hash_class")
+    return classes.join(classes.groupBy("hash_class").agg(F.count("*").alias("members")), "hash_class").select(row_id, "hash_class", "members")
+
+
 def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     """``hash_a, hash_b, similarity`` of different classes (``hash_a < hash_b``) whose tokens reach ``threshold``.
 

@@ -617,9 +617,8 @@ def text_near_pairs(spark, d):
 
 @query()
 def text_classes(spark, d):
-    """Each document's class of equal SimHashes and the class's size."""
-    rows = neardup.simhash(table(spark, d, "documents"), "doc_id", series.shingles(F.col("text"), 5))
-    return neardup.hash_classes(rows, "doc_id", "simhash")
+    """Every document's class of equal texts (null and blank ones are classes, too) and the class's size."""
+    return neardup.text_classes(table(spark, d, "documents"), "doc_id", "text", R.text_shingle)
 
 
 @query("SELECT canonical_id, source, min_by(url, id) AS url FROM base WHERE canonical_id IS NOT NULL AND url IS NOT NULL AND source IS NOT NULL GROUP BY 1, 2 QUALIFY count(*) OVER (PARTITION BY canonical_id) > 1")

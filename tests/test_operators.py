@@ -164,6 +164,15 @@ def test_text_pairs_against_brute_force_and_beyond_three_bits(spark):
     assert len(want) > 20 and any((one[a] ^ one[b]).bit_count() > 3 for a, b in got)
 
 
+def test_every_text_has_a_class(spark):
+    texts = ["Следва обобщение.", "следва  обобщение", "следва", None, None, "", " \u00a0\n", "!!", " !! ", "a b c d e f", "A, b c d e f.", "a b c d e g"]
+    df = frame(spark, list(enumerate(texts)), "id long, t string")
+    got = {r["id"]: (r["hash_class"], r["members"]) for r in neardup.text_classes(df, "id", "t", 5).collect()}
+    assert sorted(got) == list(range(len(texts))) and got[3][0] == "null" and got[5][0] == "blank"
+    assert [got[i][1] for i in range(len(texts))] == [2, 2, 1, 2, 2, 2, 2, 2, 2, 2, 2, 1]
+    assert len({c for c, _ in got.values()}) == 7
+
+
 def test_components_chain_star_and_repeats(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(7, 8), (5, 5), (None, 1)]
     got = {r["node"]: r["component"] for r in components.connected_components(frame(spark, edges, "a long, b long"), "a", "b").collect()}
