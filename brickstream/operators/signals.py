@@ -35,6 +35,43 @@ def reposts(rows: DataFrame, row_id: str, keys: Sequence[str], active: Column, f
     return keyed.filter("_a").join(first, "_k").join(second, "_k", "left").filter(earliest < F.col(first_seen)).select(row_id)
 
 
+def reused(rows: DataFrame, row_id: str, hash_column: str, near: DataFrame, who: str, place: str | None = None, price: str | None = None, delta: float = 0.25) -> DataFrame:
+    """``row_id`` of rows whose hash, or one near it, a row of another identity has too.
+
+    ``near`` has ``hash_a, hash_b``; equal hashes count as near.  With ``place`` and ``price``
+    the other row must differ materially: in place (both filled), or in price (both filled)
+    by ``delta`` of the higher one.  Counts and extremes per hash decide, so no pairs of rows
+    are built and a hash that many rows share costs what its rows do.
+    """
+    filled = lambda c: F.when(F.trim(F.col(c)) != "", F.col(c))
+    cents = F.when(F.col(price) > 0, F.col(price)) if price else F.lit(None).cast("double")
+    mine = rows.filter(F.col(hash_column).rlike("^[0-9a-fA-F]{16}$")).select(
+        F.col(row_id).alias("_id"), F.lower(F.col(hash_column)).alias("_h"), F.col(who).alias("_w"), (filled(place) if place else F.lit("")).alias("_l"), cents.alias("_p")
+    )
+    own = mine.select(F.col("_h").alias("_g"), "_h").distinct()
+    around = near.select(F.col("hash_a").alias("_h"), F.col("hash_b").alias("_g")).union(near.select(F.col("hash_b").alias("_h"), F.col("hash_a").alias("_g"))).unionByName(own)
+    theirs = mine.withColumnRenamed("_h", "_g")
+    placed = theirs.filter("_l is not null")
+    count = lambda keys, name: placed.groupBy(*keys).agg(F.count("*").alias(name))
+    asked = mine.join(around, "_h").join(count(["_g"], "_all"), "_g", "left").join(count(["_g", "_w"], "_mine"), ["_g", "_w"], "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    if place is None:
+        return asked.filter(n("_all") > n("_mine")).select(F.col("_id").alias(row_id)).distinct()
+    # rows of other identities in other places: all, less mine, less those here, plus mine here
+    asked = asked.join(count(["_g", "_l"], "_here"), ["_g", "_l"], "left").join(count(["_g", "_w", "_l"], "_both"), ["_g", "_w", "_l"], "left")
+    elsewhere = F.col("_l").isNotNull() & (n("_all") - n("_mine") - n("_here") + n("_both") > 0)
+    # the extremes of two identities decide for every row, whichever its own identity is
+    priced = theirs.filter("_p is not null").groupBy("_g", "_w").agg(F.max("_p").alias("_hi"), F.min("_p").alias("_lo"))
+    tops = priced.groupBy("_g").agg(F.max(F.struct("_hi", "_w")).alias("_top"), F.min(F.struct("_lo", "_w")).alias("_low"))
+    other = lambda top: F.col("_w") != F.col(f"{top}._w")
+    seconds = priced.join(tops, "_g").groupBy("_g").agg(F.max(F.when(other("_top"), F.col("_hi"))).alias("_hi2"), F.min(F.when(other("_low"), F.col("_lo"))).alias("_lo2"))
+    asked = asked.join(tops, "_g", "left").join(seconds, "_g", "left")
+    high, low = F.when(other("_top"), F.col("_top._hi")).otherwise(F.col("_hi2")), F.when(other("_low"), F.col("_low._lo")).otherwise(F.col("_lo2"))
+    dearer, cheaper = (high - F.col("_p")) / high >= delta, (F.col("_p") - low) / F.col("_p") >= delta
+    differs = elsewhere | F.coalesce(dearer, F.lit(False)) | F.coalesce(cheaper, F.lit(False))
+    return asked.filter(differs).select(F.col("_id").alias(row_id)).distinct()
+
+
 def counters(rows: DataFrame, key: str, counts: Mapping[str, Column]) -> DataFrame:
     """Conditional counts per key, keys without any left out."""
     out = rows.groupBy(key).agg(*[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in counts.items()])

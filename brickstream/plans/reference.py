@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brickstream.functions import scalars as S
 from brickstream.operators import dedup, hedonic, neardup, series, signals, state, tiers
 from brickstream.rules import DEFAULT as R
-from brickstream.session import table
+from brickstream.session import table, written
 
 DOUBLES = ("price_eur", "area_sqm", "price_per_sqm_eur", "first_price_eur", "predicted_price_per_sqm", "residual_pct")
 TIERS = ["neighborhood", "property_type", "construction_type"]
@@ -699,21 +699,45 @@ def hedonic_holdout(spark, d):
     SELECT id, CAST(greatest(0, 100 - penalty) AS INT) AS score FROM s"""
 )
 def authenticity_scores(spark, d):
-    """Score of each active sale: price, seller footprint and hygiene signals."""
+    """Score of each active sale by the four signals that its SQL has; :func:`authenticity_composite` has all seven."""
+    joined, parts = _own_signals(spark, d)
+    return joined.select("id", signals.penalty_score(signals.flagged(parts)).alias("score"))
+
+
+def _own_signals(spark, d):
     rows = uniq(spark, d).filter("listing_kind = 'sale'").withColumn("phone", S.phone(F.col("contact_phone")))
     who = S.identity(F.col("canonical_id"), F.col("source"), F.col("source_id"))
     ads = rows.filter("is_active and phone is not null").groupBy("phone").agg(F.count_distinct(who).alias("ads"))
     extreme = alerts(spark, d).groupBy(F.col("listing_id").alias("id")).agg(F.min(F.when(F.col("alert_type") == "underpriced", F.col("zscore"))).alias("z"))
     joined = rows.filter("is_active").join(ads, "phone", "left").join(extreme, "id", "left")
-    flags = signals.flagged(
-        [
-            ("price", 30, (F.col("residual_pct") < -35) | (F.col("z") < -3)),
-            ("seller footprint", 25, (F.col("seller_type") == "private") & (F.col("ads") >= 15)),
-            ("few photos", 10, F.coalesce("image_count", F.lit(0)) <= 1),
-            ("no floor, no year", 10, F.col("floor").isNull() & F.col("year_built").isNull()),
-        ]
-    )
-    return joined.select("id", signals.penalty_score(flags).alias("score"))
+    return joined, [
+        ("price", 30, (F.col("residual_pct") < -35) | (F.col("z") < -3)),
+        ("seller footprint", 25, (F.col("seller_type") == "private") & (F.col("ads") >= 15)),
+        ("few photos", 10, F.coalesce("image_count", F.lit(0)) <= 1),
+        ("no floor, no year", 10, F.col("floor").isNull() & F.col("year_built").isNull()),
+    ]
+
+
+@query()
+def authenticity_composite(spark, d):
+    """Score and flags of each active sale by all seven signals: also reused photos, reused descriptions and reposts."""
+    joined, (price, footprint, photos, bare) = _own_signals(spark, d)
+    who = S.identity(F.col("canonical_id"), F.col("source"), F.col("source_id"))
+    live = sale(spark, d).select("id", "image_phash", "description_full", who.alias("who"), "neighborhood", "price_eur")
+    photo = signals.reused(live, "id", "image_phash", neardup.near_pairs(live, "id", "image_phash", R.photo_bits), "who", "neighborhood", "price_eur", R.material_delta)
+    # texts under twelve words are no descriptions
+    long = live.filter(F.size(series.shingles(F.col("description_full"), 12)) > 0)
+    hashes = written(neardup.simhash(long, "id", series.shingles(F.col("description_full"), 4)), "descriptions")
+    text = signals.reused(live.select("id", "who").join(hashes, "id"), "id", "simhash", neardup.near_pairs(hashes, "id", "simhash", R.text_bits), "who")
+    seen = F.col("last_seen") >= now() - F.expr("INTERVAL 90 DAYS")
+    pool = uniq(spark, d).filter("listing_kind = 'sale'").filter(F.col("is_active") | seen).withColumn("phone", S.phone(F.col("contact_phone"))).filter("phone is not null")
+    # an active ad without a first sight may have come after any other
+    pool = pool.withColumn("_area", F.rint(F.coalesce("area_sqm", F.lit(0.0)))).withColumn("first_seen", F.when(F.col("is_active"), F.coalesce("first_seen", F.lit("9999-12-31").cast("timestamp_ntz"))).otherwise(F.col("first_seen")))
+    again = signals.reposts(pool, "id", ["source", "phone", "neighborhood", "property_type", "rooms", "_area"], F.col("is_active"), "first_seen", "source_id")
+    for name, ids in (("_photo", photo), ("_text", text), ("_again", again)):
+        joined = joined.join(ids.distinct().withColumn(name, F.lit(True)), "id", "left")
+    flags = signals.flagged([("photo reuse", 35, F.col("_photo")), price, footprint, ("description reuse", 25, F.col("_text")), photos, bare, ("repost", 20, F.col("_again"))])
+    return joined.select("id", signals.penalty_score(flags).alias("score"), flags.alias("flags"))
 
 
 @query(

@@ -207,6 +207,21 @@ def test_reposts_need_an_older_inactive_ad_of_another_id(spark):
     assert sorted(r[0] for r in signals.reposts(df, "id", ["phone"], F.col("act"), "seen", "sid").collect()) == [1, 5]
 
 
+def test_reuse_against_brute_force(spark):
+    rng = random.Random(9)
+    hs = [f"{rng.getrandbits(64):016x}" for _ in range(12)]
+    hs += [f"{int(h, 16) ^ 3:016x}" for h in hs[:6]]
+    rows = [(i, rng.choice(hs + [None]), rng.choice("pqrstuvwxyz"), rng.choice(["A", "A", "B", "", None]), rng.choice([None, 0.0, 75.0, 90.0, 100.0, 110.0])) for i in range(60)]
+    df = frame(spark, rows, "id long, h string, who string, hood string, p double")
+    near = neardup.near_pairs(df, "id", "h", 3)
+    close = lambda a, b: a[0] != b[0] and a[1] and b[1] and a[2] != b[2] and (int(a[1], 16) ^ int(b[1], 16)).bit_count() <= 3
+    apart = lambda a, b: (a[3] and b[3] and a[3] != b[3]) or (a[4] and b[4] and abs(a[4] - b[4]) / max(a[4], b[4]) >= 0.25)
+    ids = lambda *args: {r[0] for r in signals.reused(df, "id", "h", near, *args).collect()}
+    assert ids("who") == {a[0] for a in rows if any(close(a, b) for b in rows)}
+    want = {a[0] for a in rows if any(close(a, b) and apart(a, b) for b in rows)}
+    assert ids("who", "hood", "p") == want and 5 < len(want) < 60
+
+
 def test_flags_score_and_colours(spark):
     df = frame(spark, [(1, True, None), (2, True, True), (3, False, False)], "id long, a boolean, b boolean")
     flags = signals.flagged([("a", 70, F.col("a")), ("b", 50, F.col("b"))])
