@@ -1,11 +1,11 @@
 """Problem 4: the same postal address written differently.
 
-Method: top-down hierarchy matching.  Each address is parsed into levels (region,
-locality, street or complex, number with its letter, unit).  Levels are linked from the
-top: regions by their skeleton, localities within them, streets by a dictionary that is
-built from all addresses (frequent full names; rarer spellings within one typing error
-and shortened first names link to them).  A missing level inherits every candidate of the
-level above; a spelling that fits two streets stays ambiguous, with its candidates listed,
+Method: a part of hierarchy matching.  Only street or complex, number and its letter are
+matched: streets link by a dictionary that is built from all addresses (frequent full names;
+rarer spellings within one typing error and shortened first names link to them).  City,
+locality and unit are cut out of the text and not returned, as street names are unique in
+the city, so they part no two buildings; regions and localities are neither linked nor
+inherited.  A spelling that fits two streets stays ambiguous, with its candidates listed,
 and names no building.
 """
 
