@@ -104,7 +104,7 @@ def _value(elements: Sequence[dict], params: Mapping[str, str], where: str, patt
 
 
 def parse_cards(html: str, spec: CardSpec) -> Iterator[dict[str, str | None]]:
-    """Text of every field of every card of one page; repeated ids come out once, the first."""
+    """Text of every field of every card of one page; repeated ids come out once, the first; cards without an id all do."""
     tree = _Tree()
     tree.feed(html or "")
     elements, seen = tree.finish(), set()
@@ -117,7 +117,7 @@ def parse_cards(html: str, spec: CardSpec) -> Iterator[dict[str, str | None]]:
             labels = [x["text"].rstrip(":").lower() for x in inside if _fits(x, spec.params[0])]
             params = dict(zip(labels, [x["text"] for x in inside if _fits(x, spec.params[1])], strict=False))
         row = {name: _value(inside, params, *where) for name, where in spec.fields.items()}
-        if row.get("source_id") not in seen:
+        if row.get("source_id") is None or row["source_id"] not in seen:
             seen.add(row.get("source_id"))
             yield row
 

@@ -42,6 +42,12 @@ def test_cards_in_windows_1251_with_rejects_and_repeats(spark):
     assert (c["rows"], c["no_price"], c["no_area"]) == (3, 1, 1)
 
 
+def test_cards_without_an_id_all_come_out():
+    spec = landing.CardSpec(**{**SPEC.__dict__, "fields": {k: v for k, v in SPEC.fields.items() if k != "source_id"}})
+    assert len(list(landing.parse_cards(page(card(1), card(2), card(3)).decode("windows-1251"), spec))) == 3
+    assert len(list(landing.parse_cards(page(card(1), card(1), card(3)).decode("windows-1251"), SPEC))) == 2
+
+
 def test_benchmark_table_takes_the_first_of_a_name(spark):
     row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
     html = "<table>" + row("A", *"123456", "1500") + row("A", *"123456", "9999") + row("Unknown", *"123456", "1500") + row("B", "1", "2000") + row("C", *"123456", "12") + "</table>"
