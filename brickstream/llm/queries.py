@@ -121,11 +121,16 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("subject").agg(F.count("*").alias("documents")).withColumn("share", F.col("documents") / max(total, 1))
 
 
+def p10_leaves(spark: SparkSession, d: str) -> DataFrame:
+    """The leaves with their discriminative terms and the subject that prevails in each."""
+    return subjects.leaf_table(table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "subjects"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p5_found, p5_mapping,
-        p8_ids, p8_decoded, p9_packing, p10_found, p10_composition,
+        p8_ids, p8_decoded, p9_packing, p10_found, p10_composition, p10_leaves,
     )
 }
 

@@ -273,11 +273,12 @@ def corpus(seed=6):
 
 def test_subjects_of_held_out_documents(spark):
     docs, truth, labels = corpus()
-    df = spark.createDataFrame(docs + [(9001, None), (9002, ""), (9003, "12 34")], "doc_id long, text string")
+    repeated = docs[0]
+    df = spark.createDataFrame([(*d, "x", "y") for d in docs + [(9001, None), (9002, ""), (9003, "12 34"), repeated]], "doc_id long, text string, subject string, _s string")
     lab = spark.createDataFrame(labels + [(77777, "law", "b"), (0, None, "b")], "doc_id long, subject string, annotator string")
     des = spark.createDataFrame([("law", "courts"), ("energy", "heat"), ("leisure", "parks")], "subject string, description string")
     got = {}
-    for r in subjects.subjects(df, lab, des, count=24).collect():
+    for r in subjects.subjects(df, lab, des, leaves=24, smallest=2).collect():
         got.setdefault(r["doc_id"], set()).add(r["subject"])
     right = sum(got.get(i, set()) == t for i, t in truth.items() if i % 3)
     assert right / sum(1 for i in truth if i % 3) > 0.95 and not {9001, 9002, 9003} & set(got)
@@ -289,3 +290,27 @@ def test_subjects_without_labels_or_texts(spark):
     des = spark.createDataFrame([("law", "courts")], "subject string, description string")
     assert subjects.subjects(df, none, des).count() == 0
     assert subjects.subjects(df.limit(0), none, des).count() == 0
+
+
+def test_tree_parts_clusters_and_finds_the_same_leaf_again():
+    rng = random.Random(8)
+    lines = [" ".join(rng.sample(words, 4)) for words in ("alpha beta gamma delta epsilon".split(), "uno dos tres cuatro cinco".split(), "ein zwei drei vier fünf".split()) for _ in range(40)]
+    vectors = subjects.Vectors(np.ones(subjects.WIDTH))
+    row, dim, value = vectors.of(lines)
+    tree, at = subjects.bisect(row, dim, value, len(lines), 64)
+    assert (tree.assign(row, dim, value, len(lines)) == at).all()
+    assert all(len({at[i] for i in range(k, k + 40)} & {at[i] for i in range(120) if not k <= i < k + 40}) == 0 for k in (0, 40, 80))
+    assert (subjects.bisect(row, dim, value, len(lines), 1)[1] == 0).all()
+
+
+def test_sentences_are_normalised_and_different(spark):
+    texts = [("One is here (note 1). One is HERE 5! Two,  words\nЕдно",), (None,), ("",), ("12 - ()",)]
+    got = [r[0] for r in spark.createDataFrame(texts, "t string").select(subjects.sentences(F.col("t"))).collect()]
+    assert [[x.strip() for x in g] for g in got] == [["one is here", "two words", "едно"], [], [], []]
+
+
+def test_leaves_have_terms_and_subjects(spark):
+    docs, _, labels = corpus()
+    des = spark.createDataFrame([("law", "courts"), ("energy", "heat"), ("leisure", "parks")], "subject string, description string")
+    table = subjects.leaf_table(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"), des, smallest=2).collect()
+    assert {"law", "energy", "leisure", "none"} == {r["subject"] for r in table} and all(len(r["terms"]) <= 5 for r in table)
