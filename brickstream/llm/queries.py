@@ -11,6 +11,7 @@ from brickstream.llm import addresses, mapping, packing, pii, quantiles, subject
 from brickstream.session import table, written
 
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9)
+CITIES = ("дъбринград", "dabringrad")  # the home city of the project's data, by its spellings
 PLACE = ["neighborhood", "property_type"]
 
 
@@ -72,12 +73,17 @@ def p3_merged(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return addresses.same_building(table(spark, d, "listings"), "id", "address")
+    return addresses.same_building(table(spark, d, "listings"), "id", "address", CITIES)
 
 
 def p4_levels(spark: SparkSession, d: str) -> DataFrame:
-    """Street, number and letter of each address; candidates where the street is ambiguous."""
-    return addresses.resolve(table(spark, d, "listings"), "id", "address")
+    """All levels of each address, with the candidates of each level."""
+    return addresses.resolve(table(spark, d, "listings"), "id", "address", CITIES)
+
+
+def p4_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The building of each address and its size: what the pairs of p4_found say, growing only as the rows do."""
+    return addresses.building_classes(table(spark, d, "listings"), "id", "address", CITIES)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
@@ -129,7 +135,7 @@ def p10_leaves(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p5_found, p5_mapping,
+        p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p4_classes, p5_found, p5_mapping,
         p8_ids, p8_decoded, p9_packing, p10_found, p10_composition, p10_leaves,
     )
 }

@@ -136,6 +136,64 @@ def test_merged_takes_each_field_from_the_best(spark):
 
 # --- addresses -------------------------------------------------------------------------------
 
+CITIES = ("дъбринград", "dabringrad")
+
+
+def paired(spark, texts, **kw):
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, address string")
+    pairs = sorted(map(tuple, addresses.same_building(df, "id", "address", **kw).collect()))
+    classes = {}
+    for r in addresses.building_classes(df, "id", "address", **kw).collect():
+        classes.setdefault((r["building"], r["members"]), []).append(r["id"])
+    assert all(len(ids) == n for (_, n), ids in classes.items())
+    assert pairs == sorted((a, b) for ids in classes.values() for a in ids for b in ids if a < b)
+    return pairs
+
+
+@pytest.mark.parametrize(
+    ("texts", "pairs"),
+    [
+        (["ул. Иван Вазов 12341", "ул. Иван Вазов 12349", "Ivan Vazov Str. 12341"], []),
+        (["ул. Иван Вазов 3", "гр. Пловдив, ул. Иван Вазов 3", "ул. Иван Вазов 3, Дъбринград"], [(0, 2)]),
+        (["ул. Раковски 5", "ул. Раковски 5", "ул. Раковски 6"], [(0, 1)]),
+        (["ж.к. Младост 1, бл. 12", "ж.к. Младост 1 блок 12", "ж.к. Младост 2, бл. 12", "ж.к. Младост бл. 12"], [(0, 1)]),
+        (["ул. Княз Борис I 7", "ул. „Княз Борис I“ № 7", "ул. Княз Борис II 7"], [(0, 1)]),
+        (["ул. Това е едно много дълго име на улица Стефанова 8", "Ул. Това е едно много дълго име на улица Стефанова, 8"], [(0, 1)]),
+        (["ул. 6-ти септември 12", "ул. 6-ти септември № 12"], [(0, 1)]),
+    ],
+)
+def test_numbers_regions_and_names_are_read_whole(spark, texts, pairs):
+    assert paired(spark, texts, cities=CITIES) == pairs
+
+
+def test_missing_levels_inherit_and_ambiguity_stays(spark):
+    texts = ["гр. Пловдив, ул. Цар Асен 3", "ул. Цар Асен 3", "град Варна, ул. Княз Дондуков 4", "гр. Русе, ул. Княз Дондуков 4", "ул. Княз Дондуков 4"]
+    assert paired(spark, texts) == [(0, 1)]
+    df = spark.createDataFrame(list(enumerate([*texts, "кв. Изток, ул. Цар Асен 9, вх. Б, ет. 3, ап. 14", "Изток, ул. Цар Асен 10"])), "id long, address string")
+    got = {r["id"]: r for r in addresses.resolve(df, "id", "address").collect()}
+    assert got[4]["region"] is None and len(got[4]["regions"]) == 2
+    assert (got[5]["entrance"], got[5]["floor"], got[5]["flat"]) == ("б", "3", "14") and got[5]["locality"] == got[6]["locality"] is not None
+
+
+def test_localities_part_streets_that_are_not_unique(spark):
+    texts = ["кв. Изток, ул. Цар Асен 3", "кв. Запад, ул. Цар Асен 3", "кв. Изток, ул. Цар Асен № 3", "ул. Цар Асен 3"]
+    assert paired(spark, texts, unique_streets=False) == [(0, 2)]
+    assert len(paired(spark, texts, unique_streets=True)) == 6
+
+
+def test_two_well_known_streets_stay_ambiguous(spark):
+    texts = ["ул. Асен Рамекев 5"] * 40 + ["ул. Ангел Рамекев 5"] * 5 + ["ул. А. Рамекев 5", "ул. Ангел Рамеков 5"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, address string")
+    got = {r["id"]: r for r in addresses.resolve(df, "id", "address").collect()}
+    assert got[45]["street"] is None and len(got[45]["streets"]) == 2 and got[46]["street"] == got[44]["street"]
+
+
+def test_dirty_addresses(spark):
+    rows = [(1, None, "x", "y"), (2, "", "x", "y"), (3, "няма 5 5", "x", "y"), (4, "ул. Цар Асен 3 " * 2000, "x", "y"), (5, "ул. Цар Асен 3", "x", "y"), (5, "ул. Цар Асен 3", "x", "y"), (6, "ул. Цар Асен 3", "x", "y")]
+    df = spark.createDataFrame(rows, "id long, address string, region string, _text string")
+    assert (5, 6) in set(map(tuple, addresses.same_building(df, "id", "address").collect()))
+    assert addresses.building_classes(df.limit(0), "id", "address").count() == 0
+
 
 def test_spellings_of_one_building(spark):
     same = [
@@ -146,7 +204,7 @@ def test_spellings_of_one_building(spark):
     filler = ["ул. Огнян Смизибски 900"] * 9 + ["бул. Пламена Смизибска 901"] * 9
     rows = [(i, a, "x") for i, a in enumerate(same + other + filler)]
     df = spark.createDataFrame(rows, "id long, address string, street string")
-    got = {(a, b) for a, b in map(tuple, addresses.same_building(df, "id", "address").collect()) if b < len(same) + len(other)}
+    got = {(a, b) for a, b in map(tuple, addresses.same_building(df, "id", "address", CITIES).collect()) if b < len(same) + len(other)}
     n = len(same)
     want = {(a, b) for a in range(n) for b in range(a + 1, n)} | {(a, n + 7) for a in range(n)}
     assert got == want
