@@ -2,8 +2,8 @@
 
 Method: top-down hierarchy matching.  An address is read into levels: region (city),
 locality (quarter), street or complex, number with its letter, unit (entrance, floor,
-flat).  Each level is linked within the one above it, by a dictionary that is built from
-all addresses: frequent spellings are names, rarer ones within one typing error (numbers
+flat).  Regions are linked by their sound.  Each further level is linked within the one above
+it, by a dictionary that is built from all addresses: frequent spellings are names, rarer ones within one typing error (numbers
 in names must agree) link to them.  Then shortened first names and bare last names link
 to the full names that they fit.  A missing level inherits its candidates: an address
 without a region has the home region, or without one the regions in which its street is
@@ -125,7 +125,7 @@ def parse(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] = ()
     before_street = F.split(F.regexp_replace("_text", f"(?U)\\s(?=(?:{STREET_WORDS})[.\\s])", ", "), "\\s*[,;]\\s*")
     return text.select(
         "_id",
-        "region",
+        F.coalesce(coarse(F.col("region")), coarse(skeleton(F.lit(cities[0] if cities else "")))).alias("region"),
         "locality",
         "entrance",
         "floor",
@@ -250,31 +250,14 @@ def street_links(forms: DataFrame) -> DataFrame:
     return linked.withColumn("short", F.lit(False)).select(*columns).unionByName(own.withColumn("short", F.lit(True)).select(*columns))
 
 
-def resolve(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] = (), unique_streets: bool = True) -> DataFrame:
-    """``row_id, region, locality, street, number, letter, entrance, floor, flat, regions, localities, streets``: one row for each address with a street and number.
-
-    ``regions``, ``localities`` and ``streets`` list the candidates of each level; the level
-    itself is null where there isn't exactly one.  An address with several readings keeps
-    those of the best known street; where they still differ, the street is ambiguous.  A
-    repeated id is one address with several readings.  Empty tables give no row.
-    """
-    home = skeleton(F.lit(cities[0])) if cities else F.lit("")
-    # written once: the dictionary of each level and the lookups read it
-    parsed = written(parse(rows, row_id, address, cities), "addresses")
-    known = parsed.filter("region is not null").groupBy("region").agg(F.count("*").alias("n")).select(F.lit(0).alias("top"), F.col("region").alias("name"), "n")
-    regions = name_links(known, "top").select(F.col("name").alias("region"), F.coalesce(F.get("links", F.lit(0))["name"], "name").alias("_region"))
-    placed = parsed.join(regions, "region", "left").withColumn("region", F.coalesce("_region", home)).drop("_region")
-
-    # localities within their region: stated ones make the dictionary, parts of the text are looked up in it
-    stated = placed.filter("locality is not null").groupBy("region", F.col("locality").alias("name")).agg(F.count("*").alias("n"))
-    localities = name_links(stated, "region").select("region", F.col("name").alias("spelt"), F.coalesce(F.get("links", F.lit(0))["name"], "name").alias("place"))
-    spelt = F.array_distinct(F.array_compact(F.concat(F.array("locality"), F.transform("parts", lambda s: skeleton(s)))))
-    place = placed.select("_id", "region", F.explode(spelt).alias("spelt")).join(localities, ["region", "spelt"]).groupBy("_id").agg(F.array_sort(F.collect_set("place")).alias("localities"))
-
+def _streets(parsed: DataFrame) -> DataFrame:
+    """``_id, region, street, streets, number, letter, entrance, floor, flat`` of each address with a street and number."""
     units = ["entrance", "floor", "flat"]
-    read = placed.select("_id", "region", *units, F.explode("readings").alias("c"))
+    read = parsed.select("_id", "region", *units, F.explode("readings").alias("c"))
     read = read.select("_id", "region", *units, _name_form(F.col("c.name")).alias("f"), "c.number", "c.letter", "c.typed")
     read = read.select("_id", "region", *units, "f.first", "f.last", "f.short", "number", "letter", "typed").filter("last != '' and (first != '' or typed) and (length(last) > 2 or typed)")
+    # written once: the dictionary and the lookup read it
+    read = written(read, "readings")
     links = street_links(read.groupBy("region", "first", "last", "short").agg(F.count("*").alias("n"), F.max("typed").alias("typed")))
     reading = F.struct("support", "streets", F.regexp_replace("number", "^0+(?=.)", "").alias("number"), F.translate("letter", "abvgde", "абвгде").alias("letter"), *units, "region")
     found = read.join(links, ["region", "first", "last", "short"]).groupBy("_id").agg(F.collect_set(reading).alias("_all"))
@@ -283,30 +266,54 @@ def resolve(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] =
         "_id", F.col("_all")[0].alias("r"), F.array_distinct(F.flatten(F.transform("_all", lambda x: x["streets"]))).alias("streets"), F.size(F.array_distinct(F.transform("_all", lambda x: F.struct(x["number"], x["letter"])))).alias("_numbers")
     )
     street = F.when((F.size("streets") == 1) & (F.col("_numbers") == 1), F.col("streets")[0])
-    out = found.select("_id", F.col("r.region").alias("region"), street.alias("street"), "streets", "r.number", "r.letter", *[f"r.{u}" for u in units]).join(place, "_id", "left")
+    return found.select("_id", F.col("r.region").alias("region"), street.alias("street"), "streets", "r.number", "r.letter", *[f"r.{u}" for u in units])
 
-    # what an address doesn't state, it inherits from the others of its street
-    if cities:
-        out = out.withColumn("regions", F.array("region"))
-    else:
-        where = out.filter("street is not null and region != ''").groupBy("street").agg(F.array_sort(F.collect_set("region")).alias("_where"))
-        out = out.join(where, "street", "left").withColumn("regions", F.when(F.col("region") != "", F.array("region")).otherwise(F.coalesce("_where", F.array(F.lit("")))))
+
+def _regions(placed: DataFrame, home: bool) -> DataFrame:
+    """Adds ``regions``: what an address doesn't state, it inherits from the others of its street, unless there is a home region."""
+    if home:
+        return placed.withColumn("regions", F.array("region"))
+    where = placed.filter("street is not null and region != ''").groupBy("street").agg(F.array_sort(F.collect_set("region")).alias("_where"))
+    regions = F.when(F.col("region") != "", F.array("region")).otherwise(F.coalesce("_where", F.array(F.lit(""))))
+    return placed.join(where, "street", "left").withColumn("regions", regions)
+
+
+def _only(candidates: str) -> Column:
+    return F.when(F.size(candidates) == 1, F.col(candidates)[0])
+
+
+def resolve(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] = ()) -> DataFrame:
+    """``row_id, region, locality, street, number, letter, entrance, floor, flat, regions, localities, streets``: one row for each address with a street and number.
+
+    ``regions``, ``localities`` and ``streets`` list the candidates of each level; the level
+    itself is null where there isn't exactly one.  An address with several readings keeps
+    those of the best known street; where they still differ, the street is ambiguous.  A
+    repeated id is one address with several readings.  Empty tables give no row.
+    """
+    # written once: every level reads it
+    parsed = written(parse(rows, row_id, address, cities), "addresses")
+    # localities within their region: stated ones make the dictionary, parts of the text are looked up in it
+    stated = parsed.filter("locality is not null").groupBy("region", F.col("locality").alias("name")).agg(F.count("*").alias("n"))
+    localities = name_links(stated, "region").select("region", F.col("name").alias("spelt"), F.coalesce(F.get("links", F.lit(0))["name"], "name").alias("place"))
+    spelt = F.array_distinct(F.array_compact(F.concat(F.array("locality"), F.transform("parts", lambda s: skeleton(s)))))
+    place = parsed.select("_id", "region", F.explode(spelt).alias("spelt")).join(localities, ["region", "spelt"]).groupBy("_id").agg(F.array_sort(F.collect_set("place")).alias("localities"))
+    out = written(_streets(parsed).join(place, "_id", "left"), "streets")
     on_street = out.filter("street is not null and localities is not null").select("region", "street", F.explode("localities").alias("l")).groupBy("region", "street").agg(F.array_sort(F.collect_set("l")).alias("_near"))
-    out = out.join(on_street, ["region", "street"], "left").withColumn("localities", F.coalesce("localities", "_near", F.array().cast("array<string>")))
-    only = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
-    return out.select(F.col("_id").alias(row_id), only("regions").alias("region"), only("localities").alias("locality"), "street", "number", "letter", *units, "regions", "localities", "streets")
+    out = _regions(out, bool(cities)).join(on_street, ["region", "street"], "left").withColumn("localities", F.coalesce("localities", "_near", F.array().cast("array<string>")))
+    columns = ["street", "number", "letter", "entrance", "floor", "flat", "regions", "localities", "streets"]
+    return out.select(F.col("_id").alias(row_id), _only("regions").alias("region"), _only("localities").alias("locality"), *columns)
 
 
 def buildings(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] = (), unique_streets: bool = True) -> DataFrame:
     """``row_id, building``: the building of each address that names one, as its levels with a bar between; one row for each id.
 
-    Where streets aren't unique in a region, an address without exactly one locality names none.
+    Where streets aren't unique in a region, an address with several localities names none.
     """
-    at = resolve(rows, row_id, address, cities, unique_streets).filter("street is not null and region is not null")
-    if unique_streets:
-        return at.select(row_id, F.concat_ws("|", "region", "street", "number", "letter").alias("building"))
-    none_known = F.size("localities") == 0
-    return at.filter(F.col("locality").isNotNull() | none_known).select(row_id, F.concat_ws("|", "region", F.coalesce("locality", F.lit("")), "street", "number", "letter").alias("building"))
+    if unique_streets:  # localities part nothing, so they aren't linked
+        at = _regions(_streets(parse(rows, row_id, address, cities)), bool(cities)).filter("street is not null and size(regions) = 1")
+        return at.select(F.col("_id").alias(row_id), F.concat_ws("|", F.col("regions")[0], "street", "number", "letter").alias("building"))
+    at = resolve(rows, row_id, address, cities).filter("street is not null and region is not null and size(localities) < 2")
+    return at.select(row_id, F.concat_ws("|", "region", F.coalesce("locality", F.lit("")), "street", "number", "letter").alias("building"))
 
 
 def building_classes(rows: DataFrame, row_id: str, address: str, cities: Sequence[str] = (), unique_streets: bool = True) -> DataFrame:
