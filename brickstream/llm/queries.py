@@ -42,7 +42,7 @@ def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
     checks = []
     for s in SHARES:
         estimate, v = F.col(f"p{round(s * 100)}"), F.col("price_per_sqm_eur")
-        slack = F.abs(estimate) * (quantiles.ALPHA * 1.01) + quantiles.SMALLEST
+        slack = F.abs(estimate) * (quantiles.ALPHA * 1.01)
         below, upto = F.count_if(v < estimate - slack), F.count_if(v <= estimate + slack)
         wanted = F.greatest(F.ceil(F.lit(s) * F.max("n") - 1e-9), F.lit(1))
         room = F.greatest(F.max("n") * quantiles.EPSILON, F.lit(1))
@@ -53,6 +53,15 @@ def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(*PLACE).agg(F.count("*").alias("n"), ok.alias("within"))
 
 
+def p1_by_place(spark: SparkSession, d: str) -> DataFrame:
+    """The same by the place that each typed neighborhood means (problem 5); -1 is none, null is not stated."""
+    listings, places = table(spark, d, "listings"), table(spark, d, "neighborhoods")
+    meant = mapping.map_values(listings, "neighborhood", places, "id", "name").select(F.col("neighborhood").alias("_typed"), F.col("entry_id").alias("neighborhood_id"))
+    keys = ["neighborhood_id", "property_type"]
+    rows = listings.select("neighborhood", "property_type", "price_per_sqm_eur").join(meant, F.col("neighborhood") == F.col("_typed"), "left")
+    return quantiles.percentiles(quantiles.sketch(rows, keys, "price_per_sqm_eur"), keys, SHARES)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return pii.found(table(spark, d, "listings"), "id", "description_full")
 
@@ -135,7 +144,7 @@ def p10_leaves(spark: SparkSession, d: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p4_classes, p5_found, p5_mapping,
+        p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p1_by_place, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p4_classes, p5_found, p5_mapping,
         p8_ids, p8_decoded, p9_packing, p10_found, p10_composition, p10_leaves,
     )
 }

@@ -13,7 +13,7 @@ from brickstream.llm import addresses, mapping, packing, pii, quantiles, skeleto
 
 def exact_rank_ok(values, share, estimate):
     values = sorted(values)
-    slack = abs(estimate) * quantiles.ALPHA * 1.01 + quantiles.SMALLEST
+    slack = abs(estimate) * quantiles.ALPHA * 1.01
     rank = max(math.ceil(share * len(values) - 1e-9), 1)
     room = max(1, quantiles.EPSILON * len(values))
     below, upto = sum(v < estimate - slack for v in values), sum(v <= estimate + slack for v in values)
@@ -49,10 +49,31 @@ def test_sketches_add_up_and_delete(spark):
     assert gone.count() == 0 and quantiles.percentiles(gone, ["g"], [0.5]).count() == 0
 
 
-def test_codes_keep_the_order():
-    values = [-1e9, -5.0, -0.002, 0.0, 0.002, 1.0, 1.006, 5e8]
-    codes = [quantiles.CENTRE if abs(v) < quantiles.SMALLEST else quantiles.CENTRE + int(np.sign(v)) * (math.ceil(math.log(abs(v) / quantiles.SMALLEST) / math.log(quantiles.GAMMA)) + 1) for v in values]
-    assert codes == sorted(codes) and all(abs(d - v) <= abs(v) * quantiles.ALPHA * 1.001 + 1e-12 for d, v in zip(quantiles.decode(np.array(codes)), values, strict=True))
+def test_counters_and_pairs_give_the_same_answer_and_middle_levels_are_hashed(spark):
+    """A hot group whose every level below the exact ones has far more prefixes than counters."""
+    rng = random.Random(3)
+    values = [math.exp(rng.gauss(7, 1)) * rng.choice([1, 1, 1, -1]) for _ in range(20_000)] + [50.0] * 5_000
+    df = spark.createDataFrame([("hot" if i % 50 else None, v, i % 3) for i, v in enumerate(values)], "g string, v double, day int")
+    pairs, counters = quantiles.sketch(df, ["g"], "v"), quantiles.sketch(df, ["g"], "v", limit=1000)
+    kinds = {r[0]: (r[1], r[2]) for r in counters.groupBy("g").agg(F.min("level"), F.max("level")).collect()}
+    assert kinds == {"hot": (0, quantiles.BITS - 1), None: (quantiles.PAIRS, quantiles.PAIRS)}
+    assert pairs.filter(f"level != {quantiles.PAIRS}").count() == 0
+    hashed = counters.filter("g = 'hot' and level < %d" % quantiles.HASHED).groupBy("level", "row").agg(F.max("bucket").alias("b"), F.min("count").alias("c")).collect()
+    assert len(hashed) == quantiles.HASHED * quantiles.DEPTH and all(r["b"] < quantiles.WIDTH and r["c"] < 0 for r in hashed)
+    assert counters.filter("g = 'hot'").count() <= quantiles.COUNTERS + 2 * quantiles.WIDTH
+    days = [quantiles.sketch(df.filter(f"day = {k}"), ["g"], "v", limit=1000) for k in range(3)]
+    answers = [sorted(map(tuple, quantiles.percentiles(s, ["g"], (0.1, 0.5, 0.9)).collect()), key=str) for s in (pairs, counters, quantiles.merge(days, ["g"]), quantiles.merge([pairs], ["g"], limit=1000))]
+    assert answers[0] == answers[1] == answers[2] == answers[3]
+    hot = [v for i, v in enumerate(values) if i % 50]
+    for s, estimate in zip((0.1, 0.5, 0.9), next(a for a in answers[0] if a[0] == "hot")[2:], strict=True):
+        assert exact_rank_ok(hot, s, estimate)
+
+
+def test_codes_keep_the_order(spark):
+    values = [float("-inf"), -1.7e308, -1e9, -5.0, -0.002, -5e-324, 0.0, 5e-324, 1e-9, 0.002, 1.0, 1.000001, 5e8, 1.7e308, float("inf")]
+    codes = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(quantiles.code(F.col("v"))).collect()]
+    assert codes == sorted(codes) and len(set(codes[1:-1])) == len(codes) - 2 and 0 < codes[0] and codes[-1] < 2**quantiles.BITS
+    assert all(abs(d - v) <= abs(v) * quantiles.ALPHA for d, v in zip(quantiles.decode(np.array(codes)), values, strict=True) if 1e-300 < abs(v) < 1e308)
 
 
 # --- personal data ---------------------------------------------------------------------------
