@@ -8,6 +8,7 @@ length; items get their rank within their length in parallel and look their rang
 
 from __future__ import annotations
 
+import json
 from collections import defaultdict
 from collections.abc import Mapping
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 CAPACITY = 2_048
-SPREAD = 64  # parts into which the items of one length are split, so that no length is one task
+PER_TASK = 65_536  # items of one length that are ranked together, so that no length is one task
 
 
 def pack_histogram(counts: Mapping[int, int], capacity: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -66,11 +67,12 @@ def rank_ranges(patterns: list[tuple[int, tuple[int, ...]]]) -> dict[int, tuple[
     return {length: (starts[length], bases[length]) for length in starts}
 
 
-def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY) -> DataFrame:
+def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY, per_task: int = PER_TASK) -> DataFrame:
     """``item, part, n_tokens, container_id``: the container of each item.
 
     An item larger than ``capacity`` is split into full parts and a rest, numbered from 0;
     no other item is split.  Items of size 0 or null take no room and go to container 0.
+    Items of one length are ranked in sets of about ``per_task``, however many there are.
     Repeated items are placed as often as they come.  An empty table gives no row.
     """
     size_of = F.coalesce(F.col(size).cast("long"), F.lit(0))
@@ -78,10 +80,11 @@ def pack(items: DataFrame, item: str, size: str, capacity: int = CAPACITY) -> Da
         item, "_size", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.ceil(F.col("_size") / capacity) - 1, F.lit(0)).cast("long"))).alias("part")
     )
     parts = parts.select(item, "part", F.least(F.col("_size") - F.col("part") * capacity, F.lit(capacity)).alias("n_tokens"))
-    parts = parts.withColumn("_spread", F.pmod(F.xxhash64(item, "part"), F.lit(SPREAD)))
-    cells = parts.groupBy("n_tokens", "_spread").agg(F.count("*").alias("_n"))
     # at most capacity rows come to the driver
-    histogram = {int(r["n_tokens"]): int(r["n"]) for r in cells.groupBy("n_tokens").agg(F.sum("_n").alias("n")).collect()}
+    histogram = {int(r["n_tokens"]): int(r["n"]) for r in parts.groupBy("n_tokens").agg(F.count("*").alias("n")).collect()}
+    spreads = F.from_json(F.lit(json.dumps([-(-histogram.get(n, 1) // per_task) for n in range(capacity + 1)])), "array<bigint>")
+    parts = parts.withColumn("_spread", F.pmod(F.xxhash64(item, "part"), F.get(spreads, F.col("n_tokens").cast("int"))))
+    cells = parts.groupBy("n_tokens", "_spread").agg(F.count("*").alias("_n"))
     ranges = rank_ranges(pack_histogram(histogram, capacity))
     ranges[0] = ([0], [0])
     spark = items.sparkSession

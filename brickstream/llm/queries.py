@@ -124,6 +124,19 @@ def p9_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(sizes, "doc_id", "n_tokens")
 
 
+def p9_valid(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the packing holds: every document placed whole or in full parts, no container over its capacity, at most a hundredth and one container more than the tokens need."""
+    documents, placed = table(spark, d, "documents"), written(p9_packing(spark, d), "placed")
+    capacity = packing.CAPACITY
+    each = placed.groupBy("doc_id").agg(F.count("*").alias("parts"), F.sum("n_tokens").alias("n"))
+    whole = each.select(F.col("doc_id").alias("_doc"), (F.col("parts") == F.greatest(F.ceil(F.col("n") / capacity), F.lit(1))).alias("_whole"))
+    kept = documents.select("doc_id").join(whole, F.col("doc_id") == F.col("_doc"), "left").agg(F.count("*").alias("documents"), F.count_if(~F.coalesce("_whole", F.lit(False))).alias("not_whole"))
+    loads = placed.groupBy("container_id").agg(F.sum("n_tokens").alias("load"))
+    room = loads.agg(F.count_if(F.col("load") > capacity).alias("overfull"), (F.count("*") <= F.ceil(F.sum("load") / capacity) * 1.01 + 1).alias("filled"))
+    one = kept.unionByName(room, allowMissingColumns=True)
+    return one.agg(*[F.max(c).alias(c) for c in one.columns])
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return subjects.subjects(table(spark, d, "documents"), table(spark, d, "labels"), table(spark, d, "subjects"))
 
@@ -145,7 +158,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         p1_percentiles, p1_snapshot_percentiles, p1_merged_dates, p1_within_bound, p1_by_place, p2_found, p2_redacted, p3_found, p3_merged, p4_found, p4_levels, p4_classes, p5_found, p5_mapping,
-        p8_ids, p8_decoded, p9_packing, p10_found, p10_composition, p10_leaves,
+        p8_ids, p8_decoded, p9_packing, p9_valid, p10_found, p10_composition, p10_leaves,
     )
 }
 
@@ -153,5 +166,6 @@ ORACLES: dict[str, str] = {
     "p1_within_bound": """
         SELECT neighborhood, property_type, count(*) AS n, true AS within FROM listings
         WHERE price_per_sqm_eur IS NOT NULL AND NOT isnan(price_per_sqm_eur) GROUP BY ALL""",
+    "p9_valid": "SELECT count(*) AS documents, 0 AS not_whole, 0 AS overfull, true AS filled FROM documents",
     "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
 }

@@ -8,7 +8,7 @@ few comparisons.
 
 Distinct words are encoded once.  The ``HOT`` most frequent of them become a second
 literal of the same form (a bounded number of words, whatever the corpus holds); a word
-that isn't among them is folded where it occurs.  So there is no join and no shuffle of
+that isn't among them is folded where it occurs, a very long one block by block.  So there is no join and no shuffle of
 tokens, and no word is left out.
 """
 
@@ -28,6 +28,8 @@ from brickstream.llm.skeleton import let
 HOT = 65_536
 SHARDS = 8_192
 NONE = 2**31 - 1
+LONG = 512  # bytes from which a word is encoded in blocks, as a single fold takes time that grows as the square
+BLOCK = 256
 # Fixed value: how this tokenizer's vocabulary splits text into words.
 PATTERN = "(?U)'(?:[sdmt]|ll|ve|re)| ?\\p{L}+| ?\\p{N}+| ?[^\\s\\p{L}\\p{N}]+|\\s+(?!\\S)|\\s+"
 DEFAULT = "byte_bpe_50k.tiktoken"
@@ -47,6 +49,11 @@ def read_ranks(path: str) -> dict[str, int]:
         return {base64.b64decode(token).hex(): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+def longest_piece(ranks: dict[str, int]) -> int:
+    """Bytes of the longest token."""
+    return max(map(len, ranks)) // 2
+
+
 def sharded(entries: dict[str, object], value_type: str) -> Column:
     """Literal lookup table: an array of maps, indexed by the checksum of the key."""
     shards: list[dict[str, object]] = [{} for _ in range(SHARDS)]
@@ -99,6 +106,79 @@ def _fold(word_hex: Column, ranks: Column) -> Column:
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(let(bytes_, folded))
 
 
+def _stream(word_hex: Column, ranks: Column, longest: int) -> Column:
+    """Ids of a long word in time that grows as its length.
+
+    The last token of every beginning of the word is the one vocabulary piece that ends
+    there and stays apart from the last token before it when the two are merged by
+    themselves; a sequence whose neighbours all stay apart is what the ranked merges give.
+    So the beginnings are taken from left to right, in blocks that carry the last tokens
+    of ``longest`` bytes on, and the tokens are read off from the right.
+    """
+    n = (F.length(word_hex) / 2).cast("int")
+    blocks = F.sequence(F.lit(0), ((n - 1) / BLOCK).cast("int"))
+    text = F.array().cast("array<string>")
+    size = lambda piece: (F.length(piece) / 2).cast("int")
+
+    def apart(before: Column, piece: Column) -> Column:
+        return _fold(F.concat(before, piece), ranks) == F.array(look_up(ranks, before), look_up(ranks, piece))
+
+    def forward(state: Column, b: Column) -> Column:
+        begin = b * BLOCK  # bytes before the block
+        kept = F.size(state["carry"])  # last tokens of the beginnings begin - kept + 1 to begin
+
+        def in_block(part: Column) -> Column:
+            def step(last: Column, i: Column) -> Column:
+                # i bytes of ``part`` after its first ``kept`` are taken
+                window = F.substring(part, F.greatest((kept + i - longest) * 2 + 1, F.lit(1)), F.least(kept + i, F.lit(longest)) * 2)
+
+                def choose(w: Column) -> Column:
+                    lengths = F.filter(F.sequence(size(w), F.lit(1), F.lit(-1)), lambda k: look_up(ranks, F.right(w, k * 2)).isNotNull())
+
+                    def attempt(done: Column, k: Column) -> Column:
+                        piece, before = F.right(w, k * 2), F.get(last, F.size(last) - k)
+                        fits = (begin + i == k) | (before.isNotNull() & apart(before, piece))
+                        return F.when(done.isNotNull(), done).when(fits, piece)
+
+                    return F.aggregate(lengths, F.lit(None).cast("string"), attempt)
+
+                return F.concat(last, F.array(let(window, choose)))
+
+            steps = F.sequence(F.lit(1), F.least(F.lit(BLOCK), n - begin))
+            return F.aggregate(steps, state["carry"], step)
+
+        def next_state(last: Column) -> Column:
+            carried = F.slice(last, F.greatest(F.size(last) - longest + 1, F.lit(1)), F.lit(longest))
+            return F.struct(carried.alias("carry"), F.concat(state["out"], F.array(F.slice(last, kept + 1, F.greatest(F.size(last) - kept, F.lit(0))))).alias("out"))
+
+        part = F.substring(word_hex, (begin - kept) * 2 + 1, (kept + BLOCK) * 2)
+        return let(let(part, in_block), next_state)
+
+    start = F.struct(text.alias("carry"), F.array().cast("array<array<string>>").alias("out"))
+
+    def backward(lasts: Column) -> Column:
+        def block(state: Column, b: Column) -> Column:
+            own = F.get(lasts, b)
+
+            def step(s: Column, i: Column) -> Column:
+                piece = F.get(own, i - 1)
+                hit = s["at"] == b * BLOCK + i
+                return F.when(hit, F.struct((s["at"] - size(piece)).alias("at"), F.concat(F.array(piece), s["out"]).alias("out"))).otherwise(s)
+
+            inner = F.aggregate(F.sequence(F.size(own), F.lit(1), F.lit(-1)), F.struct(state["at"].alias("at"), text.alias("out")), step)
+            return let(inner, lambda x: F.struct(x["at"].alias("at"), F.concat(F.array(x["out"]), state["out"]).alias("out")))
+
+        whole = F.aggregate(F.reverse(blocks), F.struct(n.alias("at"), F.array().cast("array<array<string>>").alias("out")), block, lambda x: F.flatten(x["out"]))
+        return F.transform(whole, lambda x: look_up(ranks, x))
+
+    return let(F.aggregate(blocks, start, forward, lambda x: x["out"]), backward)
+
+
+def _encode(word_hex: Column, ranks: Column, longest: int) -> Column:
+    """Ids of one word: long ones in blocks, others by one fold; both give the same."""
+    return F.when(F.length(word_hex) > LONG * 2, _stream(word_hex, ranks, longest)).otherwise(_fold(word_hex, ranks))
+
+
 def words(text: Column) -> Column:
     """Words of a text by the tokenizer's pattern; null and empty texts have none."""
     return F.coalesce(F.regexp_extract_all(text, F.lit(f"({PATTERN})"), F.lit(1)), F.array().cast("array<string>"))
@@ -111,7 +191,7 @@ def _hex(word: Column) -> Column:
 def word_ids(distinct: DataFrame, word: str, ranks: dict[str, int]) -> DataFrame:
     """``word, ids`` of each row of a table of words."""
     table = sharded(ranks, "int")
-    return distinct.select(word, let(table, lambda t: _fold(_hex(F.col(word)), t)).alias("ids"))
+    return distinct.select(word, let(table, lambda t: _encode(_hex(F.col(word)), t, longest_piece(ranks))).alias("ids"))
 
 
 def hot_words(documents: DataFrame, text: str, hot: int = HOT) -> DataFrame:
@@ -131,7 +211,7 @@ def encoder(documents: DataFrame, text: str, path: str | None = None, hot: int =
     table, memo = sharded(ranks, "int"), sharded(dict(zip(known["word"], [list(map(int, x)) for x in known["ids"]], strict=True)), "array<int>")
 
     def ids(value: Column) -> Column:
-        each = lambda t, m: F.flatten(F.transform(words(value), lambda w: F.coalesce(look_up(m, w), _fold(_hex(w), t))))
+        each = lambda t, m: F.flatten(F.transform(words(value), lambda w: F.coalesce(look_up(m, w), _encode(_hex(w), t, longest_piece(ranks)))))
         return let(table, lambda t: let(memo, lambda m: each(t, m)))
 
     return ids

@@ -302,15 +302,35 @@ def test_ids_equal_the_public_library_and_come_back(spark):
     assert tokenize.encoded(df.limit(0), "doc_id", "text").count() == 0
 
 
-def packed(spark, sizes, capacity):
+def test_very_long_words_are_encoded_in_time_like_their_length(spark):
+    import time
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rng = random.Random(12)
+    letters = "".join(rng.choice("етаоинсabcdefghijklmnoprstuvz") for _ in range(20_000))
+    texts = [letters, "a" * 700, "квартира" * 90, "\u4e00" * 300, "=" * 1500, "ab" * 513 + " " + letters[:513], letters[5:518]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    ids = tokenize.encoder(df.limit(0), "text", hot=5)
+    began = time.time()
+    got = {r[0]: list(r[1]) for r in df.repartition(4).select("doc_id", ids(F.col("text"))).collect()}
+    took = time.time() - began
+    assert all(got[i] == t.encode(x, add_special_tokens=False).ids for i, x in enumerate(texts))
+    assert took < 60, took  # one fold takes minutes
+    print("seconds", took)
+
+
+def packed(spark, sizes, capacity, **kw):
     df = spark.createDataFrame([(i, n, "x") for i, n in enumerate(sizes)], "doc_id long, n long, part string")
-    return packing.pack(df.select("doc_id", "n"), "doc_id", "n", capacity).collect()
+    return packing.pack(df.select("doc_id", "n"), "doc_id", "n", capacity, **kw).collect()
 
 
 def test_containers_hold_everything_once_and_little_room_is_left(spark):
     rng = random.Random(5)
     sizes = [rng.randint(1, 300) for _ in range(3000)] + [7] * 1500 + [0, None, 100, 101, 250, 1000]
-    rows, load, parts = packed(spark, sizes, 100), {}, {}
+    rows, load, parts = packed(spark, sizes, 100, per_task=200), {}, {}
     for r in rows:
         load[r["container_id"]] = load.get(r["container_id"], 0) + r["n_tokens"]
         parts.setdefault(r["doc_id"], []).append((r["part"], r["n_tokens"]))
