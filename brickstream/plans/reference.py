@@ -30,7 +30,7 @@ uniq AS (SELECT * FROM base WHERE NOT coalesce(is_duplicate, false)),
 active AS (SELECT * FROM uniq WHERE is_active),
 sale AS (SELECT * FROM active WHERE listing_kind = 'sale'),
 sane AS (SELECT * FROM sale WHERE price_per_sqm_eur > 0 AND price_eur >= 5000
-    AND (property_type NOT IN ('apartment', 'studio', 'maisonette') OR area_sqm BETWEEN 20 AND 500)),
+    AND (coalesce(property_type, '') NOT IN ('apartment', 'studio', 'maisonette') OR area_sqm BETWEEN 20 AND 500)),
 al AS (SELECT * REPLACE (CASE WHEN isnan(zscore) THEN NULL ELSE zscore END AS zscore, CASE WHEN isnan(savings_eur) THEN NULL ELSE savings_eur END AS savings_eur,
     CASE WHEN isnan(savings_pct) THEN NULL ELSE savings_pct END AS savings_pct) FROM alerts),
 ph AS (SELECT * FROM price_history WHERE price_eur IS NOT NULL AND NOT isnan(price_eur) AND price_eur > 0)
@@ -73,7 +73,8 @@ def sale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plausible() -> Column:
-    return ~F.col("property_type").isin(*R.apartment_like) | F.col("area_sqm").between(R.min_area, R.max_area)
+    """Only homes have bounds of area; a row of unknown type has none."""
+    return ~F.coalesce("property_type", F.lit("")).isin(*R.apartment_like) | F.col("area_sqm").between(R.min_area, R.max_area)
 
 
 def sane(spark: SparkSession, d: str) -> DataFrame:
@@ -115,14 +116,18 @@ def group_stats_tiered(spark, d):
 
 @query(
     _STATS
-    + """, k AS (SELECT *, CASE property_type WHEN 'apartment' THEN 0 WHEN 'house' THEN 1 WHEN 'all' THEN 2 END AS r FROM stats WHERE construction_type = 'all')
-    SELECT neighborhood, property_type AS basis, median, count FROM k WHERE r IS NOT NULL AND median >= 700
-    QUALIFY row_number() OVER (PARTITION BY neighborhood ORDER BY r) = 1 AND true""".replace("WHERE r IS NOT NULL AND median >= 700\n    QUALIFY", "WHERE r IS NOT NULL\n    QUALIFY").replace(" AND true", "")
+    + """, k AS (SELECT * FROM stats WHERE construction_type = 'all'),
+    pick AS (SELECT *, row_number() OVER (PARTITION BY neighborhood ORDER BY CASE property_type WHEN 'apartment' THEN 0 WHEN 'house' THEN 1 ELSE 2 END) AS r FROM k WHERE property_type IN ('apartment', 'house', 'all'))
+    SELECT p.neighborhood, p.property_type AS basis, p.median, p.count FROM pick p LEFT JOIN k plots ON plots.neighborhood = p.neighborhood AND plots.property_type = 'plot'
+    WHERE p.r = 1 AND (p.property_type <> 'all' OR plots.median IS NULL OR p.median > 2 * plots.median) AND p.median >= 700"""
 )
 def published_stats(spark, d):
-    """One statistic per place: apartments, else houses, else all types."""
+    """One statistic per place: apartments, else houses, else all types unless plots prevail; none below the floor."""
     rows = stats(spark, d).filter("construction_type = 'all'")
-    return tiers.prefer(rows, "neighborhood", "property_type", ["apartment", "house", tiers.ALL], ["median", "count"])
+    plots = rows.filter("property_type = 'plot'").select(F.col("neighborhood").alias("_n"), F.col("median").alias("_plots"))
+    best = tiers.prefer(rows, "neighborhood", "property_type", ["apartment", "house", tiers.ALL], ["median", "count"])
+    mixed = (F.col("basis") == tiers.ALL) & (F.col("median") <= 2 * F.col("_plots"))
+    return best.join(plots, F.col("neighborhood") == F.col("_n"), "left").filter(~F.coalesce(mixed, F.lit(False)) & (F.col("median") >= R.min_per_sqm)).select("neighborhood", "basis", "median", "count")
 
 
 @query(

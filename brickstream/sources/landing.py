@@ -139,9 +139,26 @@ def _typed(rows: DataFrame, source: str, types: Mapping[str, str]) -> DataFrame:
     )
 
 
-def html_cards(pages: DataFrame, spec: CardSpec, content: str = "content") -> DataFrame:
-    """Bronze rows of stored list pages (``content`` as bytes or text), one Arrow pass without a shuffle."""
+def html_cards(pages: DataFrame, spec: CardSpec, content: str = "content", page: str | None = None) -> DataFrame:
+    """Bronze rows of stored list pages (``content`` as bytes or text), one Arrow pass without a shuffle.
+
+    With ``page``, a column that orders the pages, a repeated id comes out once over all of
+    them, as on the first page that has it; otherwise once on each page.
+    """
     names = list(spec.fields)
+    if page is not None:
+        keyed = [*names, "_page", "_position"]
+
+        def parse_keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for key, html in zip(batch[page], batch[content], strict=True):
+                    text = html.decode(spec.encoding, "replace") if isinstance(html, (bytes, bytearray)) else html
+                    rows += [{**r, "_page": str(key), "_position": i} for i, r in enumerate(parse_cards(text, spec))]
+                yield pd.DataFrame(rows, columns=keyed)
+
+        texts = pages.select(page, content).mapInPandas(parse_keyed, ", ".join(f"{n} string" for n in names) + ", _page string, _position long")
+        return _typed(first_of_each(texts, "source_id", ["_page", "_position"]), spec.source, spec.types)
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,25 +197,50 @@ def api_offers(answers: DataFrame, source: str, offers: str = "data", types: Map
     return _typed(texts, source, types or {})
 
 
-def benchmark_table(pages: DataFrame, content: str = "content", encoding: str = "utf-8") -> DataFrame:
-    """``neighborhood, price`` from pages with a table of at least eight cells a row, the last a price; the first of a name counts."""
+def table_rows(pages: DataFrame, page: str, content: str = "content", encoding: str = "utf-8") -> DataFrame:
+    """``page, position, cells``: the texts of every row of every table of stored pages, in the order of each page."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out, seen = [], set()
-            for page in batch[content]:
+            out = []
+            for key, html in zip(batch[page], batch[content], strict=True):
                 tree = _Tree()
-                tree.feed(page.decode(encoding, "replace") if isinstance(page, (bytes, bytearray)) else page or "")
+                tree.feed(html.decode(encoding, "replace") if isinstance(html, (bytes, bytearray)) else html or "")
                 elements = tree.finish()
-                for i, e in enumerate(elements):
-                    if e["tag"] == "tr":
-                        cells = [x["text"] for x in elements[i : e["end"]] if x["tag"] == "td"]
-                        if len(cells) >= 8 and re.fullmatch(r"\d{3,5}", cells[-1].replace(" ", "")) and cells[0] not in ("", "Unknown") and cells[0] not in seen:
-                            seen.add(cells[0])
-                            out.append((cells[0], float(cells[-1].replace(" ", ""))))
-            yield pd.DataFrame(out, columns=["neighborhood", "price"])
-
-    return pages.select(content).mapInPandas(parse, "neighborhood string, price double")
+                out += [(str(key), i, [x["text"] for x in elements[i : e["end"]] if x["tag"] in ("td", "th")]) for i, e in enumerate(elements) if e["tag"] == "tr"]
+            yield pd.DataFrame(out, columns=["page", "position", "cells"])
+
+    return pages.select(page, content).mapInPandas(parse, "page string, position long, cells array<string>")
+
+
+@dataclass(frozen=True)
+class TableSpec:
+    """Which rows of a table are read: the fewest cells, and the cells (from 0, negative from the end) of key and number."""
+
+    cells: int
+    key: int
+    value: int
+    digits: tuple[int, int] = (1, 18)
+    without: tuple[str, ...] = ()
+
+
+BENCHMARK = TableSpec(cells=8, key=0, value=-1, digits=(3, 5), without=("Unknown",))
+
+
+def first_of_each(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """The first row of each ``key`` over all pages; rows without a key all stay.  Combined before the shuffle."""
+    rest = [c for c in rows.columns if c != key]
+    named = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_r"))
+    return named.select(key, *[F.col("_r")[c].alias(c) for c in rest]).select(*rows.columns).unionByName(rows.filter(F.col(key).isNull()))
+
+
+def benchmark_table(pages: DataFrame, page: str, content: str = "content", encoding: str = "utf-8", spec: TableSpec = BENCHMARK) -> DataFrame:
+    """``neighborhood, price`` of the rows that fit ``spec``; of a name that comes again the first one counts, on whichever page."""
+    cell = lambda k: F.get("cells", F.size("cells") + k if k < 0 else F.lit(k))
+    number = F.regexp_replace(cell(spec.value), "[\\s\u00a0]", "")
+    fits = (F.size("cells") >= spec.cells) & number.rlike(f"^[0-9]{{{spec.digits[0]},{spec.digits[1]}}}$") & (cell(spec.key) != "")
+    named = table_rows(pages, page, content, encoding).filter(fits).filter(~cell(spec.key).isin(*spec.without) if spec.without else F.lit(True))
+    return first_of_each(named.select(cell(spec.key).alias("neighborhood"), number.cast("double").alias("price"), "page", "position"), "neighborhood", ["page", "position"]).select("neighborhood", "price")
 
 
 def detail_contacts(pages: DataFrame, key: str, content: str = "content") -> DataFrame:

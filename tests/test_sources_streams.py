@@ -51,7 +51,15 @@ def test_cards_without_an_id_all_come_out():
 def test_benchmark_table_takes_the_first_of_a_name(spark):
     row = lambda *c: "<tr>" + "".join(f"<td>{x}</td>" for x in c) + "</tr>"
     html = "<table>" + row("A", *"123456", "1500") + row("A", *"123456", "9999") + row("Unknown", *"123456", "1500") + row("B", "1", "2000") + row("C", *"123456", "12") + "</table>"
-    assert [tuple(r) for r in landing.benchmark_table(spark.createDataFrame([(html,)], "content string")).collect()] == [("A", 1500.0)]
+    later = "<table>" + row("A", *"123456", "1111") + row("D", *"123456", "1 700") + "</table>"
+    pages = spark.createDataFrame([("p2", later), ("p1", html), ("p3", None)], "page string, content string").repartition(3)
+    assert sorted(tuple(r) for r in landing.benchmark_table(pages, "page").collect()) == [("A", 1500.0), ("D", 1700.0)]
+
+
+def test_cards_that_come_again_on_another_page_come_out_once(spark):
+    pages = spark.createDataFrame([("b", page(card(1), card(2))), ("a", page(card(1), card(3)))], "path string, content binary").repartition(2)
+    got = landing.html_cards(pages, SPEC, page="path")
+    assert sorted(r["source_id"] for r in got.collect()) == ["1", "2", "3"] and got.columns == landing.html_cards(pages, SPEC).columns
 
 
 def test_embedded_json_and_contacts(spark):
