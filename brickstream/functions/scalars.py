@@ -234,6 +234,90 @@ def place_in_text(text: Column, names: list[str]) -> Column:
     return found
 
 
+# Latin spellings of Bulgarian sounds, groups first; the letters after them one by one.
+LATIN_GROUPS = (("sht", "щ"), ("zh", "ж"), ("ch", "ч"), ("sh", "ш"), ("ja", "я"), ("ju", "ю"))
+LATIN_LETTERS = "abvgdezijklmnoprstufhcyw"
+CYRILLIC_LETTERS = "абвгдезижклмнопрстуфхцъв"
+LATIN_NAMES = (("center", "Център"), ("lulin", "Люлин"))
+JUNK_NAME = "(?iu)снимки|продава|обява|€|лв\\.|кв\\.?\\s*м"
+LONGEST_NAME = 40
+
+
+def cyrillic_word(latin: Column) -> Column:
+    """Lower-case Latin spelling in Cyrillic; ``ts`` is one letter unless ``k`` follows."""
+    text = F.regexp_replace(latin, "ts(?!k)", "ц")
+    text = reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), LATIN_GROUPS, text)
+    return F.replace(F.replace(F.translate(text, LATIN_LETTERS, CYRILLIC_LETTERS), F.lit("x"), F.lit("кс")), F.lit("q"), F.lit("к"))
+
+
+def sentence_case(text: Column) -> Column:
+    return F.concat(F.upper(F.substring(text, 1, 1)), F.lower(F.substring(text, 2, 1_000)))
+
+
+def place_form(name: Column, city: str) -> Column:
+    """A typed place without prefix and closing signs, in Cyrillic; null for empty, overlong and junk names.
+
+    ``city`` is a Latin city name that may stand before the place.
+    """
+    bare = F.trim(F.regexp_replace(F.trim(F.replace(name, F.lit("\u00a0"), F.lit(" "))), "(?iu)^(?:гр|с|ж\\.?к|кв|м-т)\\.?\\s+", ""))
+    bare = F.trim(F.regexp_replace(bare, "[.,;: ]+$", ""))
+    inside = F.trim(F.regexp_replace(bare, f"(?i)^{city}\\s+", ""))
+    latin = F.when(inside == "", bare).otherwise(inside)
+    spelled = cyrillic_word(F.lower(latin))
+    for word, known in reversed(LATIN_NAMES):
+        rest = F.substring(latin, len(word) + 1, 1_000)
+        spelled = F.when((F.lower(latin) == word) | F.lower(latin).startswith(word + " "), F.concat(F.lit(known), rest)).otherwise(spelled)
+    form = F.regexp_replace(F.when(bare.rlike("[а-яА-Я]"), bare).otherwise(spelled), "\\s+", " ")
+    return F.when((F.coalesce(bare, F.lit("")) != "") & (F.length(bare) <= LONGEST_NAME) & ~bare.rlike(JUNK_NAME), form)
+
+
+def stepped(value: Column, steps: tuple[tuple[float, int], ...], upward: bool) -> Column:
+    """Points of the first step that the value reaches (``upward``) or doesn't exceed; else 0."""
+    out = F.lit(0)
+    for edge, points in reversed(steps):
+        out = F.when(value >= edge if upward else value <= edge, points).otherwise(out)
+    return out
+
+
+def motivation(changes: Column, first_price: Column, price: Column, days_since_cut: Column, days: Column, median_days: Column) -> Column:
+    """How motivated a seller seems, 0 to 100, of four capped parts; what isn't known adds nothing."""
+    often = F.least(F.greatest(F.coalesce(changes, F.lit(0)), F.lit(0)) * 8, F.lit(25))
+    cut = F.when((first_price > 0) & price.isNotNull(), F.greatest(F.lit(0.0), (first_price - price) / first_price * 100)).otherwise(0.0)
+    recent = F.when((F.coalesce(changes, F.lit(0)) > 0) & days_since_cut.isNotNull(), stepped(days_since_cut, ((7, 20), (30, 14), (60, 7)), False)).otherwise(0)
+    long = F.when(median_days > 0, stepped(days / median_days, ((2, 25), (1.5, 18), (1, 10)), True)).otherwise(0)
+    return F.least(F.lit(100), F.floor(often + F.least(cut * 1.5, F.lit(30)) + recent + long + 0.5)).cast("int")
+
+
+def pulse(new: Column, gone: Column, ratio: Column) -> Column:
+    """One sentence of the week's new and gone rows."""
+    text = F.concat(F.format_number(new, 0), F.lit(" new and "), F.format_number(gone, 0), F.lit(" gone this week"))
+    return F.concat(text, F.coalesce(F.concat(F.lit(", ratio "), F.format_number(ratio, 2)), F.lit("")))
+
+
+def attributes_in_text(text: Column) -> list[Column]:
+    """``rooms, floor, total_floors, construction, heating, year, furnishing`` that a lower-case text tells; null if none."""
+    first = lambda pattern, k=1: F.nullif(F.regexp_extract(text, pattern, k), F.lit("")).try_cast("int")
+    has = text.contains
+    words = (("1-стаен|едностаен", 1), ("2-стаен|двустаен", 2), ("3-стаен|тристаен", 3), ("4-стаен|четиристаен", 4), ("многостаен", 5))
+    floors = "([0-9]+)(?:-ти|-ви|-ри)?\\s*ет\\.?\\s*от\\s*([0-9]+)"
+    year = first("(?:експлоатация|въведен в)\\s*([0-9]{4})\\s*г")
+    ground = has("партер")
+    return [
+        F.coalesce(*[F.when(text.rlike(w), n) for w, n in words]).alias("rooms"),
+        F.when(ground, 0).otherwise(first(floors)).alias("floor"),
+        F.when(ground, first("от\\s*([0-9]+)")).otherwise(first(floors, 2)).alias("total_floors"),
+        F.when(has("тухла"), "brick").when(has("панел"), "panel").when(has("епк"), "epk").alias("construction"),
+        F.when(has("тец"), "central").when(has("лок") & has("отопл"), "local").when(has("газ"), "gas").when(has("електр"), "electric").alias("heating"),
+        F.when(year.between(1950, 2030), year).alias("year"),
+        F.when(has("необзаведен"), "unfurnished").when(has("обзаведен") & has("полу"), "partial").when(has("обзаведен"), "furnished").alias("furnishing"),
+    ]
+
+
+def clipped(text: Column, longest: int) -> Column:
+    """Text of at most ``longest`` letters, longer ones cut with three dots at the end."""
+    return F.when(F.length(text) > longest, F.concat(F.substring(text, 1, longest - 3), F.lit("..."))).otherwise(text)
+
+
 def image_link(path: Column, name: Column, prefix: str, suffix: str = ".jpg") -> Column:
     """Absolute link from the parts of a path; null without a name."""
     return F.when(F.coalesce(name, F.lit("")) != "", F.concat(F.lit(prefix.rstrip("/") + "/"), F.regexp_replace(F.coalesce(path, F.lit("")), "^/+|/+$", ""), F.lit("/"), name, F.lit(suffix)))

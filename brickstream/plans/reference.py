@@ -614,13 +614,26 @@ def photo_classes(spark, d):
     return neardup.hash_classes(sale(spark, d), "id", "image_phash")
 
 
-@query()
+_SETS = r"""WITH w AS (SELECT doc_id, text, regexp_extract_all(lower(text), '([\p{L}\p{N}_]+)') AS ws FROM documents),
+s AS (SELECT *, CASE WHEN len(ws) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) ELSE [] END AS sh FROM w),
+c AS (SELECT doc_id, sh, CASE WHEN text IS NULL THEN 'null' WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) WHEN len(ws) > 0 THEN md5(array_to_string(ws, ' '))
+    WHEN regexp_full_match(text, '[\s\x{0B}\x{85}\p{Z}]*') THEN 'blank' ELSE md5(regexp_replace(text, '^[\s\x{0B}\x{85}\p{Z}]+|[\s\x{0B}\x{85}\p{Z}]+$', '', 'g')) END AS hash_class FROM s)
+"""
+
+
+@query(
+    _SETS
+    + """, k AS (SELECT hash_class, any_value(sh) AS sh FROM c WHERE len(sh) > 0 GROUP BY 1), e AS (SELECT hash_class, len(sh) AS n, unnest(sh) AS t FROM k), rare AS (SELECT t FROM e GROUP BY 1 HAVING count(*) > 1),
+    p AS (SELECT a.hash_class AS hash_a, b.hash_class AS hash_b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common FROM e a SEMI JOIN rare USING (t) JOIN e b ON a.t = b.t AND a.hash_class < b.hash_class GROUP BY 1, 2)
+    SELECT hash_a, hash_b, common / (na + nb - common) AS similarity FROM p WHERE common / (na + nb - common) >= 0.8 - 1e-12""",
+    base=False,
+)
 def text_near_pairs(spark, d):
     """Different texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, between classes of equal texts."""
     return neardup.jaccard_pairs(neardup.text_sets(table(spark, d, "documents"), "doc_id", "text", R.text_shingle), R.text_similarity)
 
 
-@query()
+@query(_SETS + "SELECT doc_id, hash_class, count(*) OVER (PARTITION BY hash_class) AS members FROM c", base=False)
 def text_classes(spark, d):
     """Every document's class of equal texts (null and blank ones are classes, too) and the class's size."""
     return neardup.text_classes(table(spark, d, "documents"), "doc_id", "text", R.text_shingle)

@@ -23,7 +23,8 @@ class Rules:
     eur_rate: float = 1.9558
     smoothing: float = 20.0
     ridge_alpha: float = 0.1
-    trap_free_score: int = 50
+    min_exits: int = 10
+    deal_residual: float = -15.0
     photo_bits: int = 6
     text_bits: int = 3
     text_shingle: int = 5
