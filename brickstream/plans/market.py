@@ -98,14 +98,14 @@ def _exits(spark, d) -> DataFrame:
     + """, g AS (SELECT hood AS neighborhood, count(*) FILTER (WHERE sold) AS exit_count, count(*) FILTER (WHERE is_new) AS weekly_new, count(*) FILTER (WHERE is_exit) AS weekly_exits,
         median(price_per_sqm_eur) FILTER (WHERE sold AND price_per_sqm_eur > 0) AS p, median(greatest(0.0, (first_price_eur - price_eur) / first_price_eur * 100)) FILTER (WHERE sold AND first_price_eur > 0 AND price_eur IS NOT NULL) AS c,
         median(days_on_market) FILTER (WHERE sold AND days_on_market IS NOT NULL) AS m FROM l GROUP BY 1)
-    SELECT neighborhood, exit_count, weekly_new, weekly_exits, round(weekly_exits / nullif(weekly_new, 0), 2) AS absorption, CASE WHEN exit_count >= 10 THEN round(p, 2) END AS exit_price, CASE WHEN exit_count >= 10 THEN round(c, 2) END AS exit_discount, CASE WHEN exit_count >= 10 THEN round(m, 2) END AS exit_days
+    SELECT neighborhood, exit_count, weekly_new, weekly_exits, round(weekly_exits / nullif(weekly_new, 0), 2) AS absorption, CASE WHEN exit_count >= 10 THEN p END AS exit_price, CASE WHEN exit_count >= 10 THEN c END AS exit_discount, CASE WHEN exit_count >= 10 THEN m END AS exit_days
     FROM g WHERE exit_count + weekly_new > 0"""
 )
 def market_absorption(spark, d):
     """Exits and new rows of the week per place and their ratio; medians of exits where there are ten or more."""
     sold, c = F.col("sold"), F.col
     cut = F.when(c("first_price_eur") > 0, F.greatest(F.lit(0.0), (c("first_price_eur") - c("price_eur")) / c("first_price_eur") * 100))
-    enough = lambda m: F.when(c("exit_count") >= R.min_exits, F.round(m, 2))
+    enough = lambda m: F.when(c("exit_count") >= R.min_exits, c(m))
     g = _exits(spark, d).groupBy(c("hood").alias("neighborhood")).agg(
         F.count_if(sold).alias("exit_count"), F.count_if("is_new").alias("weekly_new"), F.count_if("is_exit").alias("weekly_exits"),
         F.median(F.when(sold & (c("price_per_sqm_eur") > 0), c("price_per_sqm_eur"))).alias("_p"), F.median(F.when(sold & c("price_eur").isNotNull(), cut)).alias("_c"), F.median(F.when(sold, c("days_on_market"))).alias("_m"),
