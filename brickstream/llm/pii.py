@@ -1,7 +1,8 @@
 """Problem 2: personal information inside free text, found and replaced by typed placeholders.
 
 Method: anchor expansion.  One Aho-Corasick pass finds anchors (at-signs and the words
-used for them, number openings, identifier cues, words before persons, street words);
+used for them, number openings, identifier cues, words before persons, given names, street
+words, the beginnings of account numbers and words for cards);
 deterministic local parsers expand each anchor to its boundaries and validate it.  Texts
 go through in Arrow batches, whole, in one pass without a shuffle.
 """
@@ -15,8 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLACEHOLDERS = {"phone": "[PHONE]", "email": "[EMAIL]", "idnum": "[IDNUM]", "name": "[NAME]", "addr": "[ADDRESS]"}
-ORDER = ("email", "idnum", "phone", "addr", "name")  # of items that overlap, the one named first stays
+PLACEHOLDERS = {"phone": "[PHONE]", "email": "[EMAIL]", "idnum": "[IDNUM]", "name": "[NAME]", "addr": "[ADDRESS]", "account": "[ACCOUNT]"}
+ORDER = ("email", "account", "idnum", "phone", "addr", "name")  # of items that overlap, the one named first stays
 
 # Anchors.
 AT_SIGNS = ("@", "[at]", "(at)", "(а)", "(a)", "{at}", " at ", "(маймунка)", "[маймунка]", "маймунка", "маймунско", "кльомба", "＠")
@@ -27,6 +28,24 @@ NAME_CUES = (
     "брокер:", "брокер", "агент:", "агент", "лице за контакт", "за контакт:", "продавач:", "продавачът", "наследникът", "управител:", "domoupravitel", "домоуправител",
     "owner:", "owner is", "ask for", "led by", "belongs to", "agent:", "agent", "broker:", "contact person:", "seller:", "neighbour", "according to", "consultant",
 )
+# Common given names, and what family names end with.
+GIVEN = (
+    "александър", "ангел", "андрей", "анна", "антон", "асен", "атанас", "биляна", "бисер", "богдан", "божидар", "борис", "бояна", "валентин", "ваня", "васил", "васила", "велислава", "венелин", "вера", "веселин", "виктор", "виктория", "владимир",
+    "гергана", "георги", "даниела", "деница", "десислава", "диана", "димитър", "димо", "добрин", "евгени", "екатерина", "елена", "елица", "емил", "емилия", "ефросина", "живко", "златка", "ивайло", "иван", "иванка", "илия", "ирина", "йордан", "калин", "калоян",
+    "камен", "кирил", "красимир", "кристина", "лилия", "лора", "любомир", "людмила", "маргарита", "мариана", "мария", "марин", "мартин", "милен", "милена", "мирослав", "надежда", "наум", "невена", "николай", "никола", "огнян", "олга", "орлин", "павел", "пенка", "петра", "петър", "пламен",
+    "радка", "радослав", "ралица", "росица", "румен", "светлана", "симеон", "снежана", "станимир", "стефан", "стефка", "стоян", "таня", "теодора", "тихомир", "тодор", "филип", "христо", "цвета", "цветан", "юлиян", "явор", "яна",
+)
+GIVEN_ENGLISH = ("john", "james", "robert", "michael", "william", "david", "richard", "thomas", "peter", "paul", "andrew", "mary", "jennifer", "elizabeth", "susan", "sarah", "karen", "emma", "anna", "helen")
+FAMILY_END = ("ов", "ова", "ев", "ева", "ски", "ска", "цки", "цка", "ин", "ина", "ov", "ova", "ev", "eva", "ski", "ska", "sky", "in", "ina")
+# Words before names that are of places and things, and words after them.
+NOT_PERSONS = (
+    "паметникът на", "паметник на", "паметника на", "улица", "ул.", "ул", "бул.", "бул", "булевард", "площад", "пл.", "пл", "комплекс", "комплекса", "ж.к.", "жк", "сградата", "сграда", "блок", "парк", "училище", "театър", "музей", "читалище", "болница", "стадион",
+    "monument of", "monument to", "street", "str.", "blvd", "boulevard", "square", "sq.", "complex", "building", "park", "school", "ulitsa", "ul.", "bul.", "pl.", "zhk", "statue of", "името на", "named after", "на името",
+)
+AFTER_PLACES = re.compile(r"\s*(?:[„“”\"«»]|,?\s*(?:№|no\.?\s*)?\d|(?:street|str\.?|st\.|boulevard|blvd|square|sq\.|complex|park|school|building|monument|residences?|tower|house|hotel|резиденс|резиденция|кула)\b)", re.I)
+# Cues of accounts, and the country codes that an account number may begin with.
+CARD_CUES = ("карта", "card", "visa", "mastercard")
+ACCOUNT_COUNTRIES = ("at", "be", "bg", "ch", "cy", "cz", "de", "dk", "ee", "es", "fi", "fr", "gb", "gr", "hr", "hu", "ie", "it", "lt", "lu", "lv", "mt", "nl", "no", "pl", "pt", "ro", "se", "si", "sk")
 TITLES = ("г-н", "г-жа", "г-ца", "господин", "госпожа", "арх.", "инж.", "д-р", "адв.", "проф.", "mr.", "mr ", "ms.", "ms ", "mrs.", "mrs ", "miss ", "dr.", "dr ", "eng.", "arch.")
 STREETS = (
     "улица", "ул.", "ул ", "булевард", "бул.", "бул ", "площад", "пл.", "пл ", "ulitsa", "ul.", "ul ", "bulevard", "bul.", "bul ", "boulevard", "blvd", "ploshtad", "pl.", "pl ",
@@ -47,6 +66,7 @@ _UPPER = "A-ZА-ЯЀЍ"
 _LETTER = "A-Za-zА-Яа-яЀЍѐѝ"
 _WORD = rf"[{_UPPER}][{_LETTER}'’]+"
 _NAME = re.compile(rf"(?:[{_UPPER}][{_LETTER}]{{0,2}}\.\s?(?:[{_UPPER}]\.\s?)?|{_WORD}[ ]){_WORD}(?:-{_WORD})?(?:[ ]{_WORD}(?:-{_WORD})?){{0,2}}")
+_FULL_NAME = re.compile(rf"{_WORD}(?:[ ]{_WORD}(?:-{_WORD})?){{1,2}}(?![{_LETTER}])")
 _TITLE = re.compile(r"(?:\s*(?:г-н|г-жа|г-ца|господин|госпожа|арх\.|инж\.|д-р|адв\.|проф\.|mr\.?|mrs\.?|ms\.?|miss|dr\.?|eng\.?|arch\.?)(?=[\s.]))*[\s:,]*", re.I)
 _QUOTES = "„“”\"«»'"
 _STREET_NAME = rf"[{_QUOTES}]?\s*((?:[{_LETTER}]{{1,4}}\.\s?|[{_LETTER}][{_LETTER}-]*\s+){{0,2}}[{_LETTER}][{_LETTER}-]+)\s*[{_QUOTES}]?"
@@ -54,6 +74,8 @@ _NUMBER = rf"(?:№|No\.?|N|номер)?\s*(\d{{1,4}}(?:\s?-\s?[{_LETTER}](?![{_
 _AFTER_STREET = re.compile(rf"\.?\s*{_STREET_NAME}\s*,?\s*{_NUMBER}")
 _AFTER_COMPLEX = re.compile(rf"\.?\s*{_STREET_NAME}\s*,?\s*(?:блок|бл|block|bl)\.?\s*{_NUMBER}", re.I)
 _BEFORE_STREET = re.compile(rf"(?<![{_LETTER}\d.,/-])(\d{{1,4}}[{_LETTER}]?|\d{{1,4}}-[{_LETTER}])\s+{_STREET_NAME}\s*$")
+_ACCOUNT = re.compile(r"[A-Za-z]{2}\d{2}(?:[ -]?[A-Za-z0-9]){11,30}(?![A-Za-z0-9])")
+_CARD = re.compile(r"\D{0,12}?((?:\d[ -]?){12,18}\d)(?!\d)")
 _SEPARATORS = re.compile(r"[ \-./()]+")
 
 
@@ -66,6 +88,54 @@ def _lower(text: str) -> str:
 _MACHINES: dict[str, object] = {}  # one automaton for each process
 
 
+# Latin spelling of the letters of given names.
+ROMANISED = dict(zip("абвгдезийклмнопрстуфхъьц", "a b v g d e z i y k l m n o p r s t u f h a y ts".split(), strict=True)) | {"ж": "zh", "ч": "ch", "ш": "sh", "щ": "sht", "ю": "yu", "я": "ya"}
+
+
+def _romanised(name: str) -> str:
+    return "".join(ROMANISED[c] for c in name)
+
+
+def account_number(raw: str) -> str | None:
+    """International account number without blanks if its check digits hold, else None."""
+    plain = re.sub(r"[ -]", "", raw).upper()
+    if not 15 <= len(plain) <= 34:
+        return None
+    return plain if int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1 else None
+
+
+def card_number(raw: str) -> str | None:
+    """Digits of a card number if they pass the Luhn test, else None."""
+    digits = re.sub(r"\D", "", raw)
+    doubled = [int(d) if i % 2 == 0 else sum(divmod(2 * int(d), 10)) for i, d in enumerate(reversed(digits))]
+    return digits if 13 <= len(digits) <= 19 and sum(doubled) % 10 == 0 and len(set(digits)) > 1 else None
+
+
+def _account_at(text: str, start: int) -> tuple[int, int, str] | None:
+    m = _ACCOUNT.match(text, start)
+    if not m:
+        return None
+    # the longest beginning, cut at a blank, whose check digits hold
+    for end in [m.end(), *[start + b.start() for b in reversed(list(re.finditer(" ", m.group(0))))]]:
+        if value := account_number(text[start:end]):
+            return start, end, value
+    return None
+
+
+def _person_at(text: str, low: str, start: int, end: int) -> tuple[int, int, str] | None:
+    """A common given name with a family name, unless the words around it name a place or thing."""
+    hit = _FULL_NAME.match(text, start)
+    if not hit or hit.end() <= end or not text[start].isupper():
+        return None
+    family = low[hit.start() : hit.end()].split()[1:]
+    if low[start:end] not in GIVEN_ENGLISH and not family[-1].split("-")[-1].endswith(FAMILY_END):
+        return None
+    before = low[max(0, start - 24) : start].rstrip(" \t\n")
+    if before.endswith(NOT_PERSONS) or before[-1:] in _QUOTES and before or AFTER_PLACES.match(text, hit.end()):
+        return None
+    return hit.start(), hit.end(), re.sub(r"\s+", " ", hit.group(0)).lower()
+
+
 def _automaton():
     if "all" in _MACHINES:
         return _MACHINES["all"]
@@ -73,7 +143,7 @@ def _automaton():
 
     machine = ahocorasick.Automaton()
     kinds: dict[str, set[str]] = {}
-    for kind, words in (("at", AT_SIGNS), ("number", NUMBER_STARTS), ("id", ID_CUES), ("person", NAME_CUES + TITLES), ("street", STREETS), ("complex", COMPLEXES)):
+    for kind, words in (("at", AT_SIGNS), ("number", NUMBER_STARTS), ("id", ID_CUES), ("person", NAME_CUES + TITLES), ("street", STREETS), ("complex", COMPLEXES), ("given", GIVEN + GIVEN_ENGLISH + tuple(map(_romanised, GIVEN))), ("account", ACCOUNT_COUNTRIES), ("card", CARD_CUES)):
         for word in words:
             kinds.setdefault(word, set()).add(kind)
     for word, of in kinds.items():
@@ -173,6 +243,15 @@ def _anchored(text: str) -> list[tuple[int, int, str, str]]:
                         found.append((hit[0], hit[1], "phone", hit[2]))
             elif word(start - 1):
                 continue
+            elif kind == "given":
+                if not word(end) and (hit := _person_at(text, low, start, end)):
+                    found.append((hit[0], hit[1], "name", hit[2]))
+            elif kind == "account":
+                if low[end : end + 1].isdigit() and (hit := _account_at(text, start)):
+                    found.append((hit[0], hit[1], "account", hit[2]))
+            elif kind == "card":
+                if (hit := _CARD.match(text, end)) and (value := card_number(hit.group(1))):
+                    found.append((hit.start(1), hit.end(1), "account", value))
             elif kind == "id":
                 if hit := _ID.match(text, end):
                     found.append((hit.start(1), hit.end(1), "idnum", re.sub(r"\D", "", hit.group(1))))
@@ -217,6 +296,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, str, str]], str | None]
     return kept, "".join([*out, text[at:]])
 
 
+LISTED = ("phone", "email", "idnum", "name", "addr")  # kinds that :func:`found` gives; accounts are only replaced
+
 SCANNED = T.StructType(
     [
         T.StructField("items", T.ArrayType(T.StructType([T.StructField("pii_type", T.StringType()), T.StructField("pii_value", T.StringType())]))),
@@ -243,6 +324,7 @@ def found(rows: DataFrame, row_id: str, text: str) -> DataFrame:
     """``row_id, pii_type, pii_value``: one row for each different item of each text."""
     hits = rows.select(F.col(row_id), scanned(F.col(text)).alias("_s")).select(row_id, F.explode(F.array_distinct("_s.items")).alias("_i"))
     # an id that comes twice shall not give an item twice
+    hits = hits.filter(F.col("_i.pii_type").isin(*LISTED))
     return hits.select(row_id, "_i.pii_type", "_i.pii_value").distinct()
 
 

@@ -90,7 +90,13 @@ def merged(rows: DataFrame, trust: DataFrame, fields: Sequence[str] = FIELDS, ro
     """
     kinds = dict(rows.dtypes)
     order = F.struct((-F.col("_trust")).alias("t"), F.col("_filled").alias("f"), F.coalesce(F.col("last_seen").cast("string"), F.lit("")).alias("s"), (-F.col(row_id)).alias("i"))
-    lean = ranked(rows, trust, fields).select(row_id, *fields, "_trust", "_filled", "last_seen")
-    full = lean.join(property_groups(rows, row_id).select(row_id, "group"), row_id)
+    groups = property_groups(rows, row_id).select(F.col(row_id).alias("_id"), F.col("group").alias("_group"))
+    sizes = groups.groupBy(F.col("_group").alias("_g")).agg(F.count("*").alias("_n"))
+    sized = groups.join(sizes, F.col("_group") == F.col("_g")).select("_id", "_group", "_n")
+    full = ranked(rows, trust, fields).select(row_id, *fields, "_trust", "_filled", "last_seen").join(sized, F.col(row_id) == F.col("_id"))
+    known = [F.when(filled(f, kinds[f]), F.col(f)).alias(f) for f in fields]
+    # a record without duplicates is its own best, so its long texts move no further
+    alone = full.filter("_n = 1").select(F.col("_group").alias("group"), F.col("_n").alias("n_members"), *known)
     best = [F.max_by(F.col(f), F.when(filled(f, kinds[f]), order)).alias(f) for f in fields]
-    return full.groupBy("group").agg(F.count("*").alias("n_members"), *best)
+    several = full.filter("_n > 1").groupBy(F.col("_group").alias("group")).agg(F.count("*").alias("n_members"), *best)
+    return alone.unionByName(several)

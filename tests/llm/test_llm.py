@@ -99,6 +99,25 @@ def test_items_of_a_text(text):
     assert {(k, v) for _, _, k, v in pii.scan(text)[0]} == CASES[text]
 
 
+FREE = {
+    "Мария Иванова ще ви посрещне.": {("name", "мария иванова")},
+    "Плащане по сметка на Иван Петров, IBAN BG80 BNBG 9661 1020 3456 78.": {("name", "иван петров"), ("account", "BG80BNBG96611020345678")},
+    "Живее там Георги Димитров-Стоев. Contact John Smith or Elena Petrova!": {("name", "георги димитров-стоев"), ("name", "john smith"), ("name", "elena petrova")},
+    "Карта 4111 1111 1111 1111, карта 4111 1111 1111 1112, GB00 WEST 1234 5698 7654 32.": {("account", "4111111111111111")},
+    "Паметникът на Иван Вазов, училище Георги Димитров, ул. Мария Луиза, „Иван Вазов“, The Ivan Vazov residence, Ivan Vazov Street, мария иванова.": set(),
+}
+
+
+@pytest.mark.parametrize("text", FREE)
+def test_names_without_cues_and_accounts(text):
+    assert {(k, v) for _, _, k, v in pii.scan(text)[0]} == FREE[text]
+
+
+def test_accounts_are_replaced_but_not_listed(spark):
+    df = spark.createDataFrame([(1, "IBAN BG80BNBG96611020345678.")], "id long, t string")
+    assert pii.found(df, "id", "t").count() == 0 and pii.redacted(df, "t").first()["t"] == "IBAN [ACCOUNT]."
+
+
 def test_redaction_keeps_the_rest():
     assert pii.scan("Звънете на 0888 000 123 или a@b.example, моля.")[1] == "Звънете на [PHONE] или [EMAIL], моля."
 
