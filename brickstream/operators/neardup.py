@@ -101,7 +101,7 @@ def text_sets(rows: DataFrame, row_id: str, text: str, size: int) -> DataFrame:
     made = rows.select(F.col(row_id), c.alias("_text"), words.alias("_words"), shingles(c, size).alias("_s"))
     digest = (
         F.when(F.col("_text").isNull(), "null")
-        .when(F.size("_s") > 0, F.md5(F.array_join(F.array_sort("_s"), "\n")))
+        .when(F.size("_s") > 0, F.md5(F.array_join(F.sort_array("_s"), "\n")))
         .when(F.col("_words") != "", F.md5("_words"))
         .when(F.col("_text").rlike("(?U)^\\s*$"), "blank")
         .otherwise(F.md5(F.regexp_replace("_text", "(?U)^\\s+|\\s+$", "")))
@@ -124,12 +124,13 @@ def jaccard_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     ``n - ceil(threshold * n) + 1``; the similarity of all candidates is computed exactly, so
     every pair comes out.  Prefixes carry no sets, so a very long text costs its length.
     """
-    filled = sets.filter(F.size("tokens") > 0).select(F.col("hash_class").alias("k"), "tokens").dropDuplicates(["k"])
+    # filtered after the classes are made, else the tokens would be computed a second time for the filter
+    filled = sets.select(F.col("hash_class").alias("k"), "tokens").dropDuplicates(["k"]).filter(F.size("tokens") > 0)
     # written once: rarity, prefixes and the test read it
     distinct = written(filled, "shingles")
     exploded = distinct.select("k", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     shared = exploded.groupBy("t").agg(F.count("*").alias("f")).filter("f > 1")
-    ordered = exploded.join(shared, "t").groupBy("k", "n").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("o"))
+    ordered = exploded.join(shared, "t").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("f", "t"))).alias("o"))
     # tokens of one set only come first in the order; they fill the prefix but can't match
     alone = F.col("n") - F.size("o")
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1 - alone
