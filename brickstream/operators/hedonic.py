@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brickstream.functions.scalars import decade
+from brickstream.session import written
 
 NUMERIC = ("log_area", "area", "area_sq", "rooms", "floor", "floor_sq", "total_floors", "floor_share", "top_floor", "ground_floor", "age", "age_sq", "area_rooms", "has_elevator", "act16", "encoded_place", "photos")
 CATEGORICAL = ("property_type", "construction_type", "seller_type", "renovation_state", "parking", "decade")
+SUPPORT = 0.001  # share of the rows that a category has to have
 
 
 @dataclass
@@ -61,13 +63,21 @@ def features(rows: DataFrame, encoded: DataFrame, place: str, year: int) -> Data
 def fit(rows: DataFrame, target: str, alpha: float) -> Fitted:
     """Ridge with an unpenalised intercept on standardised features, by the normal equations.
 
-    One pass for means and deviations, one for the categories, one for the solver.
+    The features are written once; one pass for means and deviations, one for the
+    categories of all columns, one for the solver.  A category that fewer than ``SUPPORT``
+    of the rows have gets no column, so there are at most ``1 / SUPPORT`` for each feature.
     """
+    rows = written(rows.select(*NUMERIC, *CATEGORICAL, target), "features")
     stats = rows.agg(*[F.avg(c).alias(f"m_{c}") for c in NUMERIC], *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC], F.stddev_pop(target).alias("spread"), F.count("*").alias("n")).first()
     means = {c: stats[f"m_{c}"] or 0.0 for c in NUMERIC}
     stds = {c: s if (s := stats[f"s_{c}"] or 0.0) > 1e-8 else 1.0 for c in NUMERIC}
-    # the first category in order is left out; an unseen one has all zeros; these columns have a handful of values
-    categories = {c: sorted(r[0] for r in rows.select(c).distinct().collect())[1:] for c in CATEGORICAL}
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value")) for c in CATEGORICAL])).alias("x")
+    counted = rows.select(each).groupBy("x.feature", "x.value").agg(F.count("*").alias("n")).filter((F.col("n") >= SUPPORT * stats["n"]) & F.col("value").isNotNull())
+    common: dict[str, list[str]] = {c: [] for c in CATEGORICAL}
+    for feature, value, _ in counted.collect():
+        common[feature].append(value)
+    # the first category in order is left out; a rare or unseen one has all zeros
+    categories = {c: sorted(values)[1:] for c, values in common.items()}
     ready, columns = design(rows, means, stds, categories)
     vectors = VectorAssembler(inputCols=columns, outputCol="_f").transform(ready)
     # the solver scales its penalty by the target's deviation and the number of rows

@@ -105,18 +105,26 @@ def deal_contacts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stream_daily(spark: SparkSession, d: str) -> DataFrame:
-    """The daily event counts, computed by a stream that runs to the end of its files."""
-    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    rows = streams.read_stream(spark, f"{d}/events.parquet*", table(spark, d, "events").schema)
-    daily = streams.tumbling(rows, "ts", "1 day", ["event_type"], "value", late="3650 days")
-    streams.run_available(daily, f"{folder}/checkpoint", streams.upserting(f"{folder}/table", lambda _, batch: batch), mode="complete")
-    newest = max(int(p.rsplit("/", 1)[1]) for p in _children(spark, f"{folder}/table"))
-    return spark.read.parquet(f"{folder}/table/{newest}").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
-
+    """The daily event counts, kept by a stream over files that arrive one after the other.
 
-def _children(spark: SparkSession, folder: str) -> list[str]:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    return [str(s.getPath()) for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)]
+    The events arrive in ``ARRIVALS`` files in the order of their time, each a batch of its
+    own; a day that lies on the edge of two is counted on from its state, days older than
+    the watermark leave it, and changed days are merged into the table.
+    """
+    folder = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("ts", "event_type", "value")
+    ends = events.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t")).agg(F.min("t"), F.max("t")).first()
+    low, step = (ends[0] or 0), max(((ends[1] or 0) - (ends[0] or 0)) // ARRIVALS + 1, 1)
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - low) / step)
+    for k in range(ARRIVALS):
+        events.filter(part == k).write.mode("append").parquet(f"{folder}/in/{k}")
+    daily = streams.tumbling(streams.read_stream(spark, f"{folder}/in/*", events.schema), "ts", "1 day", ["event_type"], "value", late="1 day")
+    last: list[int] = []
+    sink = streams.upserting(f"{folder}/table", streams.merged_by("start", "event_type"))
+    streams.run_available(daily, f"{folder}/checkpoint", lambda batch, number: (sink(batch, number), last.append(number)), mode="update")
+    if not last:
+        return spark.createDataFrame([], "day timestamp_ntz, event_type string, n long, total double")
+    return spark.read.parquet(f"{folder}/table/{max(last)}").select(F.col("start").cast("timestamp_ntz").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 def value_forms(spark: SparkSession, d: str) -> DataFrame:
@@ -128,6 +136,8 @@ def value_forms(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+ARRIVALS = 4
+
 QUERIES = {f.__name__: f for f in (source_html_cards, source_api_offers, source_rejects, listing_documents, place_documents, deal_contacts, stream_daily, value_forms)}
 B = ref._BASE
 ORACLES = {

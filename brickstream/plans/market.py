@@ -213,3 +213,26 @@ def holdout_gate(spark, d):
     p = F.col("price_per_sqm_eur")
     model, base = F.avg(F.abs(F.col("predicted_price_per_sqm") - p) / p), F.avg(F.abs(F.col("baseline") - p) / p)
     return judged.agg(F.count("*").alias("n"), F.round(model * 100, 3).alias("model_mae_pct"), F.round(base * 100, 3).alias("baseline_mae_pct"), F.coalesce(model < base, F.lit(False)).alias("gate_passed"))
+
+
+_CATEGORY = ", ".join(f"coalesce(nullif(lower(trim({c})), ''), 'unknown') AS {c}" for c in hedonic.CATEGORICAL if c != "decade")
+_NULL = lambda c: f"CAST(nullif({c}, 0) AS DOUBLE)"
+
+
+@query(
+    f""", train AS (SELECT * FROM uniq WHERE listing_kind = 'sale' AND property_type IN ('apartment', 'studio', 'maisonette') AND area_sqm BETWEEN 20 AND 500 AND price_per_sqm_eur BETWEEN 700 AND 15000 AND first_seen IS NOT NULL),
+    enc AS (SELECT neighborhood, (avg(price_per_sqm_eur) * count(*) + (SELECT median(price_per_sqm_eur) FROM train) * 20.0) / (count(*) + 20.0) AS e FROM train GROUP BY 1)
+    SELECT id, round(ln(area_sqm), 6) AS log_area, round(area_sqm * area_sqm, 4) AS area_sq, {_NULL("rooms")} AS rooms, CAST(floor AS DOUBLE) AS floor, CAST(floor AS DOUBLE) * floor AS floor_sq, {_NULL("total_floors")} AS total_floors,
+        round(floor / {_NULL("total_floors")}, 6) AS floor_share, CAST(floor = nullif(total_floors, 0) AS DOUBLE) AS top_floor, CAST(floor = 0 AS DOUBLE) AS ground_floor, 2026 - {_NULL("year_built")} AS age,
+        round(area_sqm * {_NULL("rooms")}, 4) AS area_rooms, CAST(coalesce(has_elevator, false) AS DOUBLE) AS has_elevator, CAST(coalesce(act16, false) AS DOUBLE) AS act16, round(e, 4) AS encoded_place, CAST(image_count AS DOUBLE) AS photos, {_CATEGORY},
+        CASE WHEN coalesce(year_built, 0) = 0 THEN 'unknown' WHEN year_built < 1960 THEN '<1960' WHEN year_built >= 2020 THEN '>=2020' ELSE CAST(CAST(floor(year_built / 10) AS INT) * 10 AS VARCHAR) || 's' END AS decade
+    FROM train LEFT JOIN enc USING (neighborhood)"""
+)
+def hedonic_features(spark, d):
+    """The feature matrix of the value model over the training rows."""
+    train = ref.training(spark, d)
+    encoded = hedonic.smoothed_target(train, "neighborhood", "price_per_sqm_eur", R.smoothing)
+    rows = hedonic.features(train, encoded, "neighborhood", 2026)
+    names = [c for c in hedonic.NUMERIC if c not in ("area", "age_sq")]
+    digits = {"log_area": 6, "area_sq": 4, "floor_share": 6, "area_rooms": 4, "encoded_place": 4}
+    return rows.select("id", *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in names], *hedonic.CATEGORICAL)

@@ -80,6 +80,21 @@ def upserting(path: str, merge: Callable[[DataFrame | None, DataFrame], DataFram
     return apply
 
 
+def merged_by(*keys: str) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """Merge for :func:`upserting`: the rows of the batch in place of those with the same keys."""
+
+    def merge(last: DataFrame | None, batch: DataFrame) -> DataFrame:
+        if last is None:
+            return batch
+        same = [last[k].eqNullSafe(batch[k]) for k in keys]
+        on = same[0]
+        for c in same[1:]:
+            on = on & c
+        return last.join(batch, on, "left_anti").unionByName(batch)
+
+    return merge
+
+
 def run_available(rows: DataFrame, checkpoint: str, sink: Callable[[DataFrame, int], None], mode: str = "update") -> None:
     """Everything that is there now, in batches, then the end."""
     q = rows.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(sink).start()
