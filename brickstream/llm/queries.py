@@ -171,17 +171,21 @@ def _known(column: str) -> str:
 
 _FIELDS = " + ".join([f"CAST(coalesce({c} <> 0, false) AS INT)" for c in survivors.FIELDS[:4]] + [f"CAST({_known(c)} AS INT)" for c in survivors.FIELDS[4:]])
 
+_GROUPED = f"""
+    WITH RECURSIVE l AS (SELECT *, CASE WHEN {_known("canonical_id")} THEN trim(canonical_id) END AS key, trim(source_id) AS sid, CASE WHEN {_known("duplicate_of")} THEN trim(duplicate_of) END AS dup, {_FIELDS} AS filled FROM listings),
+    n AS (SELECT *, coalesce('c:' || key, 'i:' || id) AS node FROM l),
+    e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM n a JOIN n b ON a.dup = b.sid WHERE a.node <> b.node),
+    links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+    reach(node, other) AS (SELECT DISTINCT node, node FROM n UNION SELECT r.node, x.b FROM reach r JOIN links x ON x.a = r.other),
+    g AS (SELECT node, min(other) AS grp FROM reach GROUP BY 1),
+    t AS (SELECT source, min(trust_rank) AS r FROM source_trust GROUP BY 1),
+    m AS (SELECT n.*, g.grp, count(*) OVER (PARTITION BY g.grp) AS members, row_number() OVER (PARTITION BY g.grp ORDER BY coalesce(t.r, 2147483648), n.filled DESC, n.last_seen DESC NULLS LAST, n.id) AS place FROM n JOIN g USING (node) LEFT JOIN t USING (source))
+"""
+_MERGED = [f"arg_min({c}, place) FILTER (WHERE coalesce({c} <> 0, false)) AS {c}" for c in survivors.FIELDS[:4]] + [f"arg_min({c}, place) FILTER (WHERE {_known(c)}) AS {c}" for c in survivors.FIELDS[4:]]
+
 ORACLES: dict[str, str] = {
-    "p3_found": f"""
-        WITH RECURSIVE l AS (SELECT id, source, last_seen, CASE WHEN {_known("canonical_id")} THEN trim(canonical_id) END AS key, trim(source_id) AS sid, CASE WHEN {_known("duplicate_of")} THEN trim(duplicate_of) END AS dup, {_FIELDS} AS filled FROM listings),
-        n AS (SELECT *, coalesce('c:' || key, 'i:' || id) AS node FROM l),
-        e AS (SELECT DISTINCT a.node AS a, b.node AS b FROM n a JOIN n b ON a.dup = b.sid WHERE a.node <> b.node),
-        links AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-        reach(node, other) AS (SELECT DISTINCT node, node FROM n UNION SELECT r.node, x.b FROM reach r JOIN links x ON x.a = r.other),
-        g AS (SELECT node, min(other) AS grp FROM reach GROUP BY 1),
-        t AS (SELECT source, min(trust_rank) AS r FROM source_trust GROUP BY 1),
-        m AS (SELECT n.id, g.grp, count(*) OVER (PARTITION BY g.grp) AS members, row_number() OVER (PARTITION BY g.grp ORDER BY coalesce(t.r, 2147483648), n.filled DESC, n.last_seen DESC NULLS LAST, n.id) AS place FROM n JOIN g USING (node) LEFT JOIN t USING (source))
-        SELECT CASE WHEN grp LIKE 'c:%' THEN substr(grp, 3) END AS canonical_id, id AS survivor_id FROM m WHERE members > 1 AND place = 1""",
+    "p3_found": _GROUPED + "SELECT CASE WHEN grp LIKE 'c:%' THEN substr(grp, 3) END AS canonical_id, id AS survivor_id FROM m WHERE members > 1 AND place = 1",
+    "p3_merged": _GROUPED + f'SELECT grp AS "group", count(*) AS n_members, {", ".join(_MERGED)} FROM m GROUP BY 1',
     "p1_within_bound": """
         SELECT neighborhood, property_type, count(*) AS n, true AS within FROM listings
         WHERE price_per_sqm_eur IS NOT NULL AND NOT isnan(price_per_sqm_eur) GROUP BY ALL""",
