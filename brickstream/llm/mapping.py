@@ -14,6 +14,8 @@ hold costs what a rare one costs.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +29,7 @@ PLACE_WORDS = (
     "кв|квартал|жк|ж\\.? ?к|зк|р-н|район|с|село|гр|град|м|м-т|местност|в\\.? ?з|вз|вилна зона"
     "|kv|kvartal|zhk|jk|j\\.? ?k|zh\\.? ?k|r-n|rayon|s|selo|gr|grad|m|m-t|mestnost|v\\.? ?z"
 )
-CITY = "(?:гр(?:ад)?\\.? ?|gr(?:ad)?\\.? ?)?(?:дъбринград|dabringrad|dubringrad|dybringrad)"
+CITY_WORDS = "гр(?:ад)?\\.? ?|gr(?:ad)?\\.? ?"
 ROMAN = {"i": "1", "ii": "2", "iii": "3", "iv": "4", "v": "5", "vi": "6", "vii": "7", "viii": "8", "ix": "9", "x": "10"}
 
 
@@ -46,9 +48,12 @@ def _with_number(rows: DataFrame, text: str) -> DataFrame:
     )
 
 
-def _forms(values: DataFrame, value: str) -> DataFrame:
-    """``value`` with the spellings to compare: with and without a leading place word."""
-    rows = values.withColumn("_text", F.regexp_replace(tidy(F.col(value)), f"(?iu)(?:^|(?<=[\\s,;-])){CITY}(?=$|[\\s,;-])", " "))
+def _forms(values: DataFrame, value: str, cities: Sequence[str]) -> DataFrame:
+    """``value`` with the spellings to compare: without the city, with and without a leading place word."""
+    text = tidy(F.col(value))
+    if cities:
+        text = F.regexp_replace(text, f"(?iu)(?:^|(?<=[\\s,;-]))(?:{CITY_WORDS})?(?:{'|'.join(cities)})(?=$|[\\s,;-])", " ")
+    rows = values.withColumn("_text", text)
     rows = rows.withColumn("_text", F.trim(F.regexp_replace("_text", "(?iu)^[\\s,;.:-]+|[\\s,;:-]+(?:район|квартал|rayon)?[\\s,;:-]*$", "")))
     rows = _with_number(rows, "_text").withColumn("_lower", F.lower(without_lookalikes(F.col("_named"))))
     bare = F.regexp_replace("_lower", f"(?iu)^(?:{PLACE_WORDS})(?:\\.|\\s)\\s*", "")
@@ -128,17 +133,18 @@ def similarity_join(left: DataFrame, right: DataFrame, threshold: float) -> Data
     )
 
 
-def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, threshold: float = THRESHOLD) -> DataFrame:
+def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str, name: str, threshold: float = THRESHOLD, cities: Sequence[str] = ()) -> DataFrame:
     """Each distinct ``value`` with the entry it means: ``value, entry_id, similarity``.
 
     Defined results: null and blank values give no row; a value that equals a name
     exactly gives that entry with similarity 1; a value that means no entry, or two
     entries equally, gives ``UNMATCHED`` with the best similarity found (0 if none).
-    An empty reference list leaves every value unmatched.
+    An empty reference list leaves every value unmatched.  ``cities`` are spellings of the
+    city whose places these are; it may stand beside a value and is no part of it.
     """
     entries = entries.select(F.col(entry_id).cast("long").alias("_id"), F.col(name).alias("_name")).filter(F.trim("_name") != "")
     distinct = values.select(F.col(value).alias("_value")).filter(F.length(tidy(F.col("_value"))) > 0).distinct()
-    forms = _forms(distinct, "_value")
+    forms = _forms(distinct, "_value", cities)
     targets = _entry_forms(entries, "_id", "_name")
     key = F.concat_ws("\u0001", "_form", "_number")
     left = forms.select(key.alias("_key"), _tokens(F.col("_form"), F.col("_number")).alias("_tokens")).distinct()
@@ -175,7 +181,7 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, entry_id: str,
     )
 
 
-def map_rows(rows: DataFrame, row_id: str, value: str, entries: DataFrame, entry_id: str, name: str, threshold: float = THRESHOLD) -> DataFrame:
+def map_rows(rows: DataFrame, row_id: str, value: str, entries: DataFrame, entry_id: str, name: str, threshold: float = THRESHOLD, cities: Sequence[str] = ()) -> DataFrame:
     """``row_id, entry_id`` of each row whose value is neither null nor blank nor exactly a name.
 
     Rows keep their number: repeated ids come out as often as they go in.  Other columns
@@ -184,7 +190,7 @@ def map_rows(rows: DataFrame, row_id: str, value: str, entries: DataFrame, entry
     typed = rows.select(F.col(row_id).alias("_row"), F.col(value).alias("_value")).filter(F.length(tidy(F.col("_value"))) > 0)
     names = entries.select(F.col(name).alias("_value")).filter(F.col("_value").isNotNull()).distinct()
     unknown = typed.join(names, "_value", "left_anti")
-    mapped = map_values(unknown, "_value", entries, entry_id, name, threshold)
+    mapped = map_values(unknown, "_value", entries, entry_id, name, threshold, cities)
     return unknown.join(mapped, "_value", "left").select(
         F.col("_row").alias(row_id), F.coalesce("entry_id", F.lit(UNMATCHED).cast("long")).alias("entry_id")
     )

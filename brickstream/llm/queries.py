@@ -11,7 +11,7 @@ from brickstream.llm import addresses, mapping, packing, pii, quantiles, subject
 from brickstream.session import table, written
 
 SHARES = (0.1, 0.25, 0.5, 0.75, 0.9)
-CITIES = ("дъбринград", "dabringrad")  # the home city of the project's data, by its spellings
+CITIES = ("дъбринград", "dabringrad", "dubringrad", "dybringrad")  # the home city of the project's data, by its spellings
 PLACE = ["neighborhood", "property_type"]
 
 
@@ -56,7 +56,7 @@ def p1_within_bound(spark: SparkSession, d: str) -> DataFrame:
 def p1_by_place(spark: SparkSession, d: str) -> DataFrame:
     """The same by the place that each typed neighborhood means (problem 5); -1 is none, null is not stated."""
     listings, places = table(spark, d, "listings"), table(spark, d, "neighborhoods")
-    meant = mapping.map_values(listings, "neighborhood", places, "id", "name").select(F.col("neighborhood").alias("_typed"), F.col("entry_id").alias("neighborhood_id"))
+    meant = mapping.map_values(listings, "neighborhood", places, "id", "name", cities=CITIES).select(F.col("neighborhood").alias("_typed"), F.col("entry_id").alias("neighborhood_id"))
     keys = ["neighborhood_id", "property_type"]
     rows = listings.select("neighborhood", "property_type", "price_per_sqm_eur").join(meant, F.col("neighborhood") == F.col("_typed"), "left")
     return quantiles.percentiles(quantiles.sketch(rows, keys, "price_per_sqm_eur"), keys, SHARES)
@@ -96,13 +96,13 @@ def p4_classes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    rows = mapping.map_rows(table(spark, d, "listings"), "id", "neighborhood", table(spark, d, "neighborhoods"), "id", "name")
+    rows = mapping.map_rows(table(spark, d, "listings"), "id", "neighborhood", table(spark, d, "neighborhoods"), "id", "name", cities=CITIES)
     return rows.withColumnRenamed("entry_id", "neighborhood_id")
 
 
 def p5_mapping(spark: SparkSession, d: str) -> DataFrame:
     """Every distinct value with its entry (-1: none) and similarity."""
-    return mapping.map_values(table(spark, d, "listings"), "neighborhood", table(spark, d, "neighborhoods"), "id", "name")
+    return mapping.map_values(table(spark, d, "listings"), "neighborhood", table(spark, d, "neighborhoods"), "id", "name", cities=CITIES)
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -274,7 +274,7 @@ TYPED = {
 def test_typed_places(spark):
     entries = spark.createDataFrame(list(enumerate(NAMES, 1)), "id long, name string")
     rows = [(i, v, "x") for i, v in enumerate(TYPED)] + [(900, None, "x"), (901, "  ", "x"), (902, "Мостище", "x"), (0, next(iter(TYPED)), "x")]
-    got = mapping.map_rows(spark.createDataFrame(rows, "id long, hood string, name string"), "id", "hood", entries, "id", "name").collect()
+    got = mapping.map_rows(spark.createDataFrame(rows, "id long, hood string, name string"), "id", "hood", entries, "id", "name", cities=CITIES).collect()
     assert len(got) == len(TYPED) + 1
     assert {list(TYPED)[r["id"]]: r["entry_id"] for r in got} == TYPED
     assert mapping.map_rows(spark.createDataFrame(rows, "id long, hood string, name string").limit(0), "id", "hood", entries, "id", "name").count() == 0
