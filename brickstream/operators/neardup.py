@@ -66,12 +66,14 @@ def capped_pairs(rows: DataFrame, row_id: str, hash_column: str, bits: int, cap:
 def simhash(rows: DataFrame, row_id: str, shingle_array: Column) -> DataFrame:
     """``row_id, simhash``: 64-bit SimHash of each row's set of shingles, as 16 hexadecimal digits.
 
-    Every bit is the sign of its sum over the shingles' 64-bit hashes.  Rows without
+    Every bit is the sign of its sum over the first 64 bits of the shingles' digests.  Rows without
     shingles give none.  The 64 sums are partial aggregates, so a very long text costs a
     few numbers per task.
     """
-    hashed = rows.select(F.col(row_id).alias("_id"), F.explode(shingle_array).alias("_s")).select("_id", F.xxhash64("_s").alias("_h"))
-    bit = lambda i: F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(1).cast("long"))
+    hashed = rows.select(F.col(row_id).alias("_id"), F.explode_outer(shingle_array).alias("_s")).filter("_s is not null").select("_id", F.md5("_s").alias("_d"))
+    word = lambda at: F.conv(F.substring("_d", at, 8), 16, 10).cast("long")
+    hashed = hashed.select("_id", word(1).alias("_high"), word(9).alias("_low"))
+    bit = lambda i: F.shiftrightunsigned("_high" if i > 31 else "_low", i % 32).bitwiseAND(F.lit(1).cast("long"))
     sums = hashed.groupBy("_id").agg(*[F.sum(bit(i) * 2 - 1).alias(f"_b{i}") for i in range(64)])
 
     def half(low: int) -> Column:

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brickstream.functions import scalars as S
-from brickstream.operators import dedup, hedonic
+from brickstream.operators import dedup, hedonic, neardup, series
 from brickstream.plans import reference as ref
 from brickstream.rules import DEFAULT as R
 from brickstream.session import table
@@ -236,3 +236,81 @@ def hedonic_features(spark, d):
     names = [c for c in hedonic.NUMERIC if c not in ("area", "age_sq")]
     digits = {"log_area": 6, "area_sq": 4, "floor_share": 6, "area_rooms": 4, "encoded_place": 4}
     return rows.select("id", *[F.round(c, digits[c]).alias(c) if c in digits else F.col(c) for c in names], *hedonic.CATEGORICAL)
+
+
+@query(
+    """WITH w AS (SELECT id, regexp_extract_all(lower(description_full), '([\\p{L}\\p{N}_]+)') AS ws FROM listings WHERE description_full IS NOT NULL),
+    s AS (SELECT id, unnest(list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))) AS t FROM w WHERE len(ws) >= 5),
+    h AS (SELECT id, ('0x' || substr(md5(t), 1, 16))::UBIGINT AS h FROM s),
+    b AS (SELECT id, r.i AS i, sum(CAST((h >> r.i) & 1 AS BIGINT) * 2 - 1) >= 0 AS one FROM h, range(64) r(i) GROUP BY ALL),
+    d AS (SELECT id, i // 4 AS digit, sum(CASE WHEN one THEN 1 << (i % 4) ELSE 0 END) AS v FROM b GROUP BY ALL)
+    SELECT id, string_agg(substr('0123456789abcdef', CAST(v AS INT) + 1, 1), '' ORDER BY digit DESC) AS simhash FROM d GROUP BY 1""",
+    base=False,
+)
+def text_simhash(spark, d):
+    """64-bit SimHash of the five-word runs of each description."""
+    return neardup.simhash(table(spark, d, "listings"), "id", series.shingles(F.col("description_full"), R.text_shingle))
+
+
+@query("SELECT neighborhood, count(*) AS listings, median(price_per_sqm_eur) AS median FROM sane WHERE neighborhood IS NOT NULL GROUP BY 1 HAVING count(*) >= 5 ORDER BY count(*) DESC, neighborhood LIMIT 40")
+def places_by_count(spark, d):
+    """The forty places with the most listings."""
+    rows = ref.sane(spark, d).filter("neighborhood is not null").groupBy("neighborhood").agg(F.count("*").alias("listings"), F.median("price_per_sqm_eur").alias("median"))
+    return rows.filter(F.col("listings") >= R.min_group).orderBy(F.desc("listings"), "neighborhood").limit(40)
+
+
+@query(", z AS (SELECT listing_id, min(zscore) AS z FROM al WHERE alert_type = 'underpriced' AND zscore IS NOT NULL GROUP BY 1) SELECT s.id, z.z AS zscore FROM sale s JOIN z ON z.listing_id = s.id ORDER BY z.z, s.id LIMIT 3")
+def strongest_deals(spark, d):
+    """The three lowest z-scores among active sales, one for each listing."""
+    z = ref.alerts(spark, d).filter("alert_type = 'underpriced' and zscore is not null").groupBy(F.col("listing_id").alias("_l")).agg(F.min("zscore").alias("zscore"))
+    return ref.sale(spark, d).select("id").join(z, F.col("id") == F.col("_l")).orderBy("zscore", "id").limit(3).select("id", "zscore")
+
+
+@query(
+    """, r AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY recorded_at DESC, id DESC) AS rn FROM ph WHERE recorded_at >= TIMESTAMP '2026-03-26' - INTERVAL 7 DAY)
+    SELECT s.id, round((r.price_eur - s.price_eur) / r.price_eur * 100, 3) AS drop_pct FROM sale s JOIN r ON r.listing_id = s.id AND rn = 1 WHERE s.price_eur < r.price_eur AND (r.price_eur - s.price_eur) / r.price_eur * 100 >= 5
+    ORDER BY (r.price_eur - s.price_eur) / r.price_eur DESC, s.id LIMIT 8"""
+)
+def largest_recent_drops(spark, d):
+    """The eight largest price drops of the week."""
+    rows = ref.recent_price_drops(spark, d)
+    exact = (F.col("old_price") - F.col("new_price")) / F.col("old_price")
+    return rows.orderBy(exact.desc(), "id").limit(8).select("id", "drop_pct")
+
+
+@query(
+    """SELECT n.name AS neighborhood, count(*) AS n, round((avg(predicted_price_per_sqm) - n.avg_price_per_sqm) / n.avg_price_per_sqm * 100, 3) AS delta_pct FROM sale s JOIN neighborhoods n ON n.name = s.neighborhood
+    WHERE predicted_price_per_sqm IS NOT NULL AND n.avg_price_per_sqm > 0 GROUP BY n.name, n.avg_price_per_sqm HAVING count(*) >= 5"""
+)
+def predictions_against_benchmark(spark, d):
+    """Mean stored prediction of each place against the benchmark's mean."""
+    bench = ref.clean(table(spark, d, "neighborhoods")).filter("avg_price_per_sqm > 0").select(F.col("name").alias("_n"), "avg_price_per_sqm")
+    ours = ref.sale(spark, d).filter("predicted_price_per_sqm is not null").groupBy("neighborhood").agg(F.count("*").alias("n"), F.avg("predicted_price_per_sqm").alias("_p")).filter(F.col("n") >= R.min_group)
+    delta = (F.col("_p") - F.col("avg_price_per_sqm")) / F.col("avg_price_per_sqm") * 100
+    return ours.join(bench, F.col("neighborhood") == F.col("_n")).select("neighborhood", "n", F.round(delta, 3).alias("delta_pct"))
+
+
+@query("SELECT a.id AS alert_id, s.id, a.alert_type, s.price_eur FROM al a JOIN sale s ON s.id = a.listing_id WHERE a.sent_at IS NULL")
+def unsent_alerts(spark, d):
+    """Alerts that weren't sent yet, of active sales."""
+    a = ref.alerts(spark, d).filter("sent_at is null").select(F.col("id").alias("alert_id"), "listing_id", "alert_type")
+    return ref.sale(spark, d).select("id", "price_eur").join(a, F.col("id") == F.col("listing_id")).select("alert_id", "id", "alert_type", "price_eur")
+
+
+@query(
+    """WITH c AS (SELECT CAST(snapshot_date AS DATE) AS day, source, count(*) AS n, count(DISTINCT lower(trim(source_id))) AS ads FROM listing_snapshots WHERE snapshot_date IS NOT NULL GROUP BY ALL),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY source ORDER BY day) AS before FROM c) SELECT day, source, n, ads, coalesce(n < 0.5 * before, false) AS thin FROM p""",
+    base=False,
+)
+def write_checks(spark, d):
+    """Rows and ads that each source delivered on each date, and whether it was less than half of the delivery before."""
+    rows = table(spark, d, "listing_snapshots").filter("snapshot_date is not null").groupBy(F.to_date("snapshot_date").alias("day"), "source")
+    counted = rows.agg(F.count("*").alias("n"), F.count_distinct(F.lower(F.trim("source_id"))).alias("ads"))
+    before = F.lag("n").over(Window.partitionBy("source").orderBy("day"))
+    return counted.select("day", "source", "n", "ads", F.coalesce(F.col("n") < F.lit(0.5) * before, F.lit(False)).alias("thin"))
+
+
+@query("SELECT id FROM uniq WHERE is_active OR last_seen >= TIMESTAMP '2026-03-26' - INTERVAL 90 DAY")
+def seen_recently(spark, d):
+    """Rows that are active or were seen within ninety days: the pool of comparisons."""
+    return ref.uniq(spark, d).filter(F.col("is_active") | (F.col("last_seen") >= ref.now() - F.expr("INTERVAL 90 DAYS"))).select("id")
