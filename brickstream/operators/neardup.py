@@ -34,13 +34,15 @@ def near_pairs(rows: DataFrame, row_id: str, hash_column: str, bits: int, equal:
     A hash is cut into ``bits + equal`` bands.  Two hashes within ``bits`` agree in at least
     ``equal`` of them, so every choice of that many bands is a join key: no pair is lost,
     and all keys are long enough (21 bits or more for 6, 31 or more for 3) that a bucket holds few hashes.
-    Runs over distinct hashes: rows that share one are found by :func:`hash_classes`.
+    Runs over distinct hashes: rows that share one are found by :func:`hash_classes`.  The keys are
+    joined by sorting, whatever the hashes' size: its estimate knows nothing of the keys that
+    each hash is exploded to, so few MB of hashes would be broadcast as a GB of keys.
     """
     spans = _spans(bits + equal)
     keys = [F.concat(F.lit(f"{i}:"), *[F.substring("_bits", *spans[k]) for k in choice]) for i, choice in enumerate(combinations(range(len(spans)), equal))]
     half = lambda at: F.lpad(F.conv(F.substring("h", at, 8), 16, 2), 32, "0")
     hashes = rows.filter(valid_hash(F.col(hash_column))).select(F.lower(F.col(hash_column)).alias("h")).distinct().withColumn("_bits", F.concat(half(1), half(9)))
-    keyed = hashes.select("h", F.explode(F.array(*keys)).alias("key"))
+    keyed = hashes.select("h", F.explode(F.array(*keys)).alias("key")).hint("merge")
     pairs = keyed.withColumnRenamed("h", "hash_a").join(keyed.withColumnRenamed("h", "hash_b"), "key").filter("hash_a < hash_b")
     return pairs.withColumn("distance", hamming(F.col("hash_a"), F.col("hash_b"))).filter(F.col("distance") <= bits).select("hash_a", "hash_b", "distance").distinct()
 

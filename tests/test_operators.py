@@ -131,6 +131,20 @@ def test_cap_skips_crowded_hashes(spark):
     assert neardup.capped_pairs(df, "id", "h", 2, 2).count() == 0
 
 
+def test_near_pairs_keys_are_never_broadcast(spark):
+    df = spark.range(3000).select("id", F.substring(F.md5(F.col("id").cast("string")), 1, 16).alias("h"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for bits in (3, 6):
+            pairs = neardup.near_pairs(df, "id", "h", bits)
+            pairs.collect()
+            # the plan as it ran, after the hashes' size was known
+            assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_simhash_is_near_for_near_texts(spark):
     a = " ".join(f"дума{i}" for i in range(60))
     df = frame(spark, [(1, a), (2, a + " край"), (3, " ".join(f"друго{i}" for i in range(60))), (4, None), (5, "къс")], "id long, t string")
