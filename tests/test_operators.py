@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brickstream.functions import scalars as S
 from brickstream.operators import components, dedup, hedonic, neardup, series, signals, state, tiers
+from brickstream.plans import reference
 
 T = dt.datetime
 TIERS = ["hood", "kind", "build"]
@@ -145,6 +146,19 @@ def test_near_pairs_keys_are_never_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_composite_broadcasts_no_keys_of_near_pairs(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        scores = reference.authenticity_composite(spark, "/root/testdata/sf0.01")
+        scores.collect()
+        joins = [line for line in scores._jdf.queryExecution().executedPlan().toString().splitlines() if "hash_a" in line and "hash_b" in line and "Join" in line]
+        assert any("SortMergeJoin" in line for line in joins)
+        assert not any("BroadcastHashJoin" in line for line in joins)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_simhash_is_near_for_near_texts(spark):
     a = " ".join(f"дума{i}" for i in range(60))
     df = frame(spark, [(1, a), (2, a + " край"), (3, " ".join(f"друго{i}" for i in range(60))), (4, None), (5, "къс")], "id long, t string")
