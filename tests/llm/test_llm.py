@@ -427,6 +427,15 @@ def test_sentences_are_normalised_and_different(spark):
     assert [[x.strip() for x in g] for g in got] == [["one is here .", "one is here !", "two,  words", "едно"], [], [], ["-"]]
 
 
+def test_mixtures_come_from_all_labelled_documents(spark, monkeypatch):
+    docs, _, labels = corpus()
+    monkeypatch.setattr(subjects, "LABELLED", 10, raising=False)
+    des = spark.createDataFrame([("law", "courts"), ("energy", "heat"), ("leisure", "parks")], "subject string, description string")
+    model = subjects.learn(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, subject string, annotator string"), des, smallest=2)
+    texts = dict(docs)
+    assert model.documents.sum() >= sum(len(texts[i]) > 0 for i in {x[0] for x in labels}) == 300
+
+
 def test_leaves_have_terms_and_subjects(spark):
     docs, _, labels = corpus()
     des = spark.createDataFrame([("law", "courts"), ("energy", "heat"), ("leisure", "parks")], "subject string, description string")
