@@ -727,7 +727,9 @@ def _own_signals(spark, d):
     who = S.identity(F.col("canonical_id"), F.col("source"), F.col("source_id"))
     ads = rows.filter("is_active and phone is not null").groupBy("phone").agg(F.count_distinct(who).alias("ads"))
     extreme = alerts(spark, d).groupBy(F.col("listing_id").alias("id")).agg(F.min(F.when(F.col("alert_type") == "underpriced", F.col("zscore"))).alias("z"))
-    joined = rows.filter("is_active").join(ads, "phone", "left").join(extreme, "id", "left")
+    # both grow with the listings, so they are joined by sorting; a missing phone is no key, or all such rows would be one task's
+    asked = rows.filter("is_active").withColumn("_k", F.coalesce("phone", F.concat(F.lit("-"), F.col("id").cast("string"))))
+    joined = asked.join(ads.withColumnRenamed("phone", "_k").hint("merge"), "_k", "left").join(extreme.hint("merge"), "id", "left")
     return joined, [
         ("price", 30, (F.col("residual_pct") < -35) | (F.col("z") < -3)),
         ("seller footprint", 25, (F.col("seller_type") == "private") & (F.col("ads") >= 15)),
@@ -738,22 +740,27 @@ def _own_signals(spark, d):
 
 @query()
 def authenticity_composite(spark, d):
-    """Score and flags of each active sale by all seven signals: also reused photos, reused descriptions and reposts."""
+    """Score and flags of each active sale by all seven signals: also reused photos, reused descriptions and reposts.
+
+    Hashes and the hits of photos and reposts are written, so that each plan is small and nothing that
+    grows with the listings is broadcast: the driver holds neither one plan of sixty exchanges nor tables.
+    """
     joined, (price, footprint, photos, bare) = _own_signals(spark, d)
     who = S.identity(F.col("canonical_id"), F.col("source"), F.col("source_id"))
     live = sale(spark, d).select("id", "image_phash", "description_full", who.alias("who"), "neighborhood", "price_eur")
-    photo = signals.reused(live, "id", "image_phash", neardup.near_pairs(live, "id", "image_phash", R.photo_bits), "who", "neighborhood", "price_eur", R.material_delta)
+    shots = written(live.filter(neardup.valid_hash(F.col("image_phash"))).drop("description_full"), "photos")
+    photo = signals.reused(shots, "id", "image_phash", neardup.near_pairs(shots, "id", "image_phash", R.photo_bits), "who", "neighborhood", "price_eur", R.material_delta)
     # texts under twelve words are no descriptions
-    long = live.filter(F.size(series.shingles(F.col("description_full"), 12)) > 0)
-    hashes = written(neardup.simhash(long, "id", series.shingles(F.col("description_full"), 4)), "descriptions")
-    text = signals.reused(live.select("id", "who").join(hashes, "id"), "id", "simhash", neardup.near_pairs(hashes, "id", "simhash", R.text_bits), "who")
+    long = live.filter(F.size(series.shingles(F.col("description_full"), 12)) > 0).withColumn("_row", F.struct("id", "who"))
+    hashes = written(neardup.simhash(long, "_row", series.shingles(F.col("description_full"), 4)).select("_row.*", "simhash"), "descriptions")
+    text = signals.reused(hashes, "id", "simhash", neardup.near_pairs(hashes, "id", "simhash", R.text_bits), "who")
     seen = F.col("last_seen") >= now() - F.expr("INTERVAL 90 DAYS")
     pool = uniq(spark, d).filter("listing_kind = 'sale'").filter(F.col("is_active") | seen).withColumn("phone", S.phone(F.col("contact_phone"))).filter("phone is not null")
     # an active ad without a first sight may have come after any other
     pool = pool.withColumn("_area", F.rint(F.coalesce("area_sqm", F.lit(0.0)))).withColumn("first_seen", F.when(F.col("is_active"), F.coalesce("first_seen", F.lit("9999-12-31").cast("timestamp_ntz"))).otherwise(F.col("first_seen")))
     again = signals.reposts(pool, "id", ["source", "phone", "neighborhood", "property_type", "rooms", "_area"], F.col("is_active"), "first_seen", "source_id")
-    for name, ids in (("_photo", photo), ("_text", text), ("_again", again)):
-        joined = joined.join(ids.distinct().withColumn(name, F.lit(True)), "id", "left")
+    for name, ids in (("_photo", written(photo, "photo_hits")), ("_text", text), ("_again", written(again, "repost_hits"))):
+        joined = joined.join(ids.distinct().withColumn(name, F.lit(True)).hint("merge"), "id", "left")
     flags = signals.flagged([("photo reuse", 35, F.col("_photo")), price, footprint, ("description reuse", 25, F.col("_text")), photos, bare, ("repost", 20, F.col("_again"))])
     return joined.select("id", signals.penalty_score(flags).alias("score"), flags.alias("flags"))
 

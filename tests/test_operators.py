@@ -159,6 +159,22 @@ def test_composite_broadcasts_no_keys_of_near_pairs(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_composite_broadcasts_nothing_that_grows(spark):
+    store = spark._jsparkSession.sharedState().statusStore()
+    runs = lambda: {(x := store.executionsList().apply(i)).executionId(): x.physicalPlanDescription() for i in range(store.executionsList().size())}
+    before, old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), set(runs())
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        reference.authenticity_composite(spark, "/root/testdata/sf0.01").collect()
+        spark._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        # the plans as they ran, those of the steps that are written, too
+        ran = [plan for k, plan in runs().items() if k not in old]
+        assert any("SortMergeJoin" in plan for plan in ran)
+        assert not any("BroadcastExchange" in plan.partition("Initial Plan")[0] for plan in ran)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_simhash_is_near_for_near_texts(spark):
     a = " ".join(f"дума{i}" for i in range(60))
     df = frame(spark, [(1, a), (2, a + " край"), (3, " ".join(f"друго{i}" for i in range(60))), (4, None), (5, "къс")], "id long, t string")
